@@ -1 +1,6 @@
 """Runnable queries over the given tables, each with its reference SQL."""
+
+from lexispark.plans import load, phrases  # noqa: F401
+from lexispark.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
