@@ -197,7 +197,7 @@ def spaced_tokens(units):
 
 @query("alignment_check", f"""
 WITH {LINES}
-SELECT unit_id, coalesce(array_to_string(list_filter(string_split(text, ' '), x -> x <> ''), ' '), '') = text AS aligned FROM units""")
+SELECT unit_id, coalesce(array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), ' '), '') = text AS aligned FROM units""")
 def alignment_check(spark, d):
     units = line_units(spark, d)
     return ig.alignment_check(units, spaced_tokens(units))
