@@ -166,7 +166,7 @@ WITH {bd.pair_table_sql(LINE_SETS)}
 SELECT variant, item_type, item_a AS item, count(*) AS n_partners, CAST(sum(n_ab) AS BIGINT) AS n_ab,
   CAST(sum(n_ab_first_instance) AS BIGINT) AS n_first, count(*) FILTER (in_family) AS n_family,
   count(*) FILTER (fdr_significant) AS n_significant, CAST(sum(n_a * n_b) AS BIGINT) AS sum_ab, round(max(g2), 4) AS max_g2,
-  round(min(p), 6) AS min_p, round(sum(p), 3) AS sum_p, round(sum(top_share), 3) AS sum_share,
+  round(min(p), 6) AS min_p, round(sum(p), 3) AS sum_p, CAST(sum(round(top_share * n_ab)) AS BIGINT) AS sum_top,
   max(top_section) AS last_section, min(n_total) AS n_total, min(n_scope) AS n_scope FROM coll GROUP BY variant, item_type, item_a""")
 def collocation_lines(spark, d):
     """The whole pair table of the document lines, folded per first item."""
@@ -176,7 +176,7 @@ def collocation_lines(spark, d):
         F.count(F.when(F.col("fdr_significant"), 1)).alias("n_significant"),
         F.sum(F.col("n_a") * F.col("n_b")).alias("sum_ab"), F.round(F.max("g2"), 4).alias("max_g2"),
         F.round(F.min("p"), 6).alias("min_p"), F.round(F.sum("p"), 3).alias("sum_p"),
-        F.round(F.sum("top_share"), 3).alias("sum_share"), F.max("top_section").alias("last_section"),
+        F.sum(F.round(F.col("top_share") * F.col("n_ab")).cast("long")).alias("sum_top"), F.max("top_section").alias("last_section"),
         F.min("n_total").alias("n_total"), F.min("n_scope").alias("n_scope"))
 
 
