@@ -43,7 +43,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_json_map(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object ``unit id -> [spans]`` per record as rows (unit_id, spans)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)  # one object per file; a large map comes as several files
     return explode_json_map(text, F.col("value"))
 
 
