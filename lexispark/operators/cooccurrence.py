@@ -79,49 +79,33 @@ def unit_scopes(flagged: DataFrame) -> DataFrame:
         F.struct(F.lit(REDUCED).alias("variant"), F.col("reduced").alias("n_scope")))))
 
 
-def _in_cells(rows: DataFrame, unit: Sequence[str], p: Params) -> DataFrame:
-    """Spread the items of large units over cells so that no task pairs a whole large unit.
+def unit_pairs(rows: DataFrame, unit: Sequence[str] = ("item_type", "unit_id"), p: Params = Params()) -> DataFrame:
+    """Unordered item pairs of each unit as item_a < item_b; ``rows`` has the unit columns and distinct items.
 
-    A unit with n items is cut into about n/block blocks; cell (i, j) receives blocks i and j.
-    Ordinary units keep a single cell.
+    A unit with n items is cut into about n/block blocks, and cell (i, j) receives blocks i and j, so
+    no task pairs a whole large unit; ordinary units keep a single cell. Each bounded cell is sorted
+    once, then every item is followed by the larger ones: two fused generators instead of a self-join.
     """
+    unit = list(unit)
     sizes = rows.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.where(F.col("_n") > p.pair_block).select(
         *unit, F.ceil(F.col("_n") / p.pair_block).cast("int").alias("_blocks"))
-    placed = (
-        rows.join(large, list(unit), "left")
-        .withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-        .withColumn("_blk", F.pmod(F.hash("item"), F.col("_blocks")))
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    return placed.select("*", other).select(
-        *rows.columns, "_blk",
-        F.least("_blk", "_other").alias("_ci"), F.greatest("_blk", "_other").alias("_cj"))
-
-
-def unit_pairs(rows: DataFrame, unit: Sequence[str] = ("item_type", "unit_id"), p: Params = Params()) -> DataFrame:
-    """Unordered item pairs of each unit, smaller item first.
-
-    ``rows`` needs the unit columns and item (distinct per unit); every other column comes back
-    as ``x_a``/``x_b``.
-    """
-    rest = [c for c in rows.columns if c not in (*unit, "item")]
-    on = [*unit, "_ci", "_cj"]
+    block = lambda c: F.pmod(F.hash(c), F.col("_blocks"))
+    placed = rows.join(large, unit, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    on = [*unit, "_blocks", "_ci", "_cj"]
     # pairing turns few input bytes into many rows, so the partition count is fixed here instead of
     # being coalesced by input size; a cell holds at most about two blocks, so there is no skew to split
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = _in_cells(rows, unit, p).repartition(parts, *on)
-    # the bounded cell is sorted once, then each item is followed by the larger ones: two fused
-    # generators instead of a self-join
-    listed = cells.groupBy(*on).agg(
-        F.sort_array(F.collect_list(F.struct("item", "_blk", *rest))).alias("_items"))
-    firsts = listed.select("*", F.posexplode("_items").alias("_i", "_a"))
-    later = F.slice("_items", F.col("_i") + 2, F.size("_items"))
-    pairs = firsts.select(*on, "_a", F.explode(later).alias("_b"))
+    cells = placed.select(
+        *unit, "item", "_blocks", F.least(block("item"), F.col("_other")).alias("_ci"),
+        F.greatest(block("item"), F.col("_other")).alias("_cj")).repartition(parts, *on)
+    listed = cells.groupBy(*on).agg(F.sort_array(F.collect_list("item")).alias("_items"))
+    firsts = listed.select("*", F.posexplode("_items").alias("_i", "item_a"))
+    pairs = firsts.select(*on, "item_a", F.explode(F.slice("_items", F.col("_i") + 2, F.size("_items"))).alias("item_b"))
     # pairs inside one block belong to its diagonal cell only
-    once = (F.col("_ci") == F.col("_cj")) | (F.col("_a._blk") != F.col("_b._blk"))
-    return pairs.where(once).select(
-        *unit, *[F.col(f"_{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("item", *rest)])
+    once = (F.col("_ci") == F.col("_cj")) | (block("item_a") != block("item_b"))
+    return pairs.where(once).select(*unit, "item_a", "item_b")
 
 
 def pair_counts(sets: DataFrame, p: Params = Params(), floor: int | None = None) -> DataFrame:
@@ -169,22 +153,25 @@ def pair_rows(
     # the smaller number is the smaller item. Both tables are stored, so every use sees the same numbers.
     items = settle(with_global_rank(wanted, [F.col("item_type"), F.col("item")], "id"))
     names = settle(with_global_rank(sets.select("section").distinct(), [F.col("section")], "code"))
+    # The last bit of an item's number says whether it is left in the reduced variant, so a unit's
+    # items are one array of longs; what belongs to the whole unit rides in the unit key.
     rows = sets.join(items, ["item_type", "item"]).join(names, "section").select(
-        "unit_id", "item_type", F.col("id").alias("item"), "in_reduced", "code")
+        "unit_id", "item_type", "code", (F.col("id") * 2 + F.col("in_reduced").cast("long")).alias("item"))
     if first_units is not None:
         marks = first_units.select("unit_id", F.lit(True).alias("_mark"))
-        rows = rows.join(marks, "unit_id", "left").withColumn("first", F.coalesce("_mark", F.lit(False))).drop("_mark")
+        rows = rows.join(marks, "unit_id", "left").withColumn("first", F.col("_mark").isNotNull()).drop("_mark")
     else:
         rows = rows.withColumn("first", F.lit(False))
 
-    both = F.col("in_reduced_a") & F.col("in_reduced_b")
+    both = F.col("item_a").bitwiseAND(F.col("item_b")).bitwiseAND(F.lit(1)) == 1
+    number = lambda c: F.shiftright(c, 1)
     one = F.lit(1)
     # numeric aggregates only, so that both steps stay hash aggregates
-    per_section = unit_pairs(rows, ("item_type", "unit_id"), p).groupBy(
-        "item_a", "item_b", F.col("code_a").alias("code")).agg(
+    per_section = unit_pairs(rows, ("unit_id", "item_type", "code", "first"), p).groupBy(
+        number("item_a").alias("item_a"), number("item_b").alias("item_b"), "code").agg(
         F.count(one).alias("c_raw"),
         F.count(F.when(both, 1)).alias("c_red"),
-        F.count(F.when(both & F.col("first_a"), 1)).alias("c_first"),
+        F.count(F.when(both & F.col("first"), 1)).alias("c_first"),
         F.min("unit_id").alias("u_raw"),
         F.min(F.when(both, F.col("unit_id"))).alias("u_red"))
     folded = per_section.groupBy("item_a", "item_b").agg(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.session import settle
+
 
 def _needed_rank(p, m, q: float):
     """Smallest rank r with p <= (r/m) q, corrected for rounding so it agrees with that comparison."""
@@ -44,7 +46,8 @@ def benjamini_hochberg(rows: DataFrame, family: Sequence[str], q: float = 0.05)
     within = Window.partitionBy(*family, "range").orderBy("need").rowsBetween(Window.unboundedPreceding, 0)
     reached = per_rank.join(starts, [*family, "range"]).withColumn(
         "cum", F.col("start") + F.sum("c").over(within))
-    limits = reached.where(F.col("cum") >= F.col("need")).groupBy(*family).agg(F.max("p_max").alias("_p_limit"))
+    # stored: one number per family, so that reading the flags costs no more than reading the table
+    limits = settle(reached.where(F.col("cum") >= F.col("need")).groupBy(*family).agg(F.max("p_max").alias("_p_limit")))
     return (
         rows.join(F.broadcast(limits), family, "left")
         .withColumn("fdr_significant",

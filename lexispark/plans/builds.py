@@ -18,14 +18,19 @@ FORCED = (("brand", "Brand#2", "Brand#1"), ("brand", "Brand#3", "Brand#missing")
 _stored: dict[tuple, object] = {}
 
 
-def stored(spark, d, name, build):
-    """The named table for this folder, built and written on first use."""
+def once(spark, d, name, build):
+    """The named table for this folder, built on first use."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _stored:
-        _stored[key] = settle(build())
+        _stored[key] = build()
     return _stored[key]
 
 
+def stored(spark, d, name, build):
+    """The same, written on first use."""
+    return once(spark, d, name, lambda: settle(build()))
+
+
 def basket_ranges(spark, d):
     """Returned order lines play the part of repeated phrases: they are masked in the reduced variant."""
     return table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").where("l_returnflag = 'R'").select(
@@ -44,7 +49,7 @@ def basket_sets(spark, d):
 
 
 def basket_table(spark, d):
-    return stored(spark, d, "basket_table", lambda: co.collocation_table(
+    return once(spark, d, "basket_table", lambda: co.collocation_table(
         basket_tokens(spark, d), BASKET_ITEMS, basket_ranges(spark, d), basket_firsts(spark, d), forced=FORCED))
 
 
@@ -64,7 +69,7 @@ def line_sets(spark, d):
 
 def line_table(spark, d):
     occ = line_occurrences(spark, d)
-    return stored(spark, d, "line_table", lambda: co.collocation_table(
+    return once(spark, d, "line_table", lambda: co.collocation_table(
         line_tokens(spark, d), LINE_ITEMS, ph.masked_ranges(occ), ph.first_instance_units(occ)))
 
 
