@@ -12,8 +12,7 @@ from lexispark.operators.fdr import benjamini_hochberg
 from lexispark.params import RAW, REDUCED, Params
 from lexispark.session import settle, with_global_rank
 
-# Widths of the fields packed into one DECIMAL(38) by `_section_rank`: joint count (12 digits),
-# unit id (18 digits), section code (8 digits).
+# Places of the fields in the wide form of `_section_rank`: section code (8 digits), unit id (18 digits).
 _CODE = 10**8
 _UNIT = 10**18
 
@@ -121,11 +120,30 @@ def _canonical(forced: Sequence[tuple[str, str, str]], spark) -> DataFrame:
     return spark.createDataFrame(rows, "item_type string, item_a string, item_b string").distinct()
 
 
-def _section_rank(count, unit, code):
-    """Orderable as a number: highest count first, then lowest unit id; carries the section code."""
+def _section_rank(sets: DataFrame, items: DataFrame, names: DataFrame):
+    """How to pack (count, first unit, section code) into one orderable number, and to read the code back.
+
+    Highest count first, then lowest unit id. One number keeps the aggregation a hash aggregate;
+    a struct would force a sort. The fields get the widths the data needs: a LONG if that is
+    enough, else a DECIMAL(38) with 12, 18 and 8 digits.
+    """
+    u = sets.agg(F.min("unit_id").alias("low"), F.max("unit_id").alias("high")).first()  # single numbers
+    n, k = items.agg(F.max("n_raw")).first()[0] or 1, names.agg(F.max("code")).first()[0] or 1
+    low, high = (u.low, u.high) if u.low is not None else (0, 0)
+    units, codes = high - low + 1, k + 1
+    if (n + 1) * units * codes < 2**63:
+        def pack(count, unit, code):
+            return (count * units + (F.lit(high) - unit)) * codes + code
+
+        return pack, lambda c: F.pmod(c, F.lit(codes)).cast("long")
+
     dec = lambda c: c.cast("decimal(38,0)")
-    return (dec(dec(count) * F.lit(_CODE).cast("decimal(9,0)")) * F.lit(_UNIT).cast("decimal(19,0)")
-            + dec(dec(F.lit(_UNIT - 1) - unit) * F.lit(_CODE).cast("decimal(9,0)")) + dec(code)).cast("decimal(38,0)")
+
+    def pack_wide(count, unit, code):
+        return (dec(dec(count) * F.lit(_CODE).cast("decimal(9,0)")) * F.lit(_UNIT).cast("decimal(19,0)")
+                + dec(dec(F.lit(_UNIT - 1) - unit) * F.lit(_CODE).cast("decimal(9,0)")) + dec(code)).cast("decimal(38,0)")
+
+    return pack_wide, lambda c: F.pmod(c, F.lit(_CODE).cast("decimal(9,0)")).cast("long")
 
 
 def pair_rows(
@@ -174,17 +192,17 @@ def pair_rows(
         F.count(F.when(both & F.col("first"), 1)).alias("c_first"),
         F.min("unit_id").alias("u_raw"),
         F.min(F.when(both, F.col("unit_id"))).alias("u_red"))
+    rank, code_of = _section_rank(sets, items, names)
     folded = per_section.groupBy("item_a", "item_b").agg(
         F.sum("c_raw").alias("c_raw"), F.sum("c_red").alias("c_red"), F.sum("c_first").alias("c_first"),
         F.max("c_raw").alias("m_raw"), F.max("c_red").alias("m_red"),
-        F.max(_section_rank(F.col("c_raw"), F.col("u_raw"), F.col("code"))).alias("t_raw"),
-        F.max(F.when(F.col("c_red") > 0, _section_rank(F.col("c_red"), F.col("u_red"), F.col("code")))).alias("t_red"))
+        F.max(rank(F.col("c_raw"), F.col("u_raw"), F.col("code"))).alias("t_raw"),
+        F.max(F.when(F.col("c_red") > 0, rank(F.col("c_red"), F.col("u_red"), F.col("code")))).alias("t_red"))
     side = lambda s: items.select(
         F.col("id").alias(f"item_{s}"), F.col("item").alias(f"name_{s}"), F.col("n_raw").alias(f"n_raw_{s}"),
         F.col("n_reduced").alias(f"n_reduced_{s}"), *(["item_type"] if s == "a" else []))
     folded = folded.join(side("a"), "item_a").join(side("b"), "item_b").drop("item_a", "item_b").withColumnsRenamed(
         {"name_a": "item_a", "name_b": "item_b"})
-    code_of = lambda c: F.pmod(c, F.lit(_CODE).cast("decimal(9,0)")).cast("long")
     zero = F.lit(0).cast("long")
 
     def variant(name, a, b, n, first, top, best):

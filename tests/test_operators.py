@@ -87,10 +87,11 @@ def test_pairs_of_large_units_are_complete(spark, block):
     assert sorted(got) == want
 
 
-def test_pair_rows_against_brute_force(spark):
+@pytest.mark.parametrize("step", [1, 10**16])
+def test_pair_rows_against_brute_force(spark, step):
     rng = random.Random(5)
     data, brute = [], {}
-    for u in range(60):
+    for u in range(0, 60 * step, step):  # wide unit ids need the wide packing
         section = f"s{rng.randint(0, 3)}"
         items = {f"i{rng.randint(0, 7)}" for _ in range(rng.randint(1, 6))}
         flags = {i: rng.random() < 0.7 for i in items}
@@ -100,7 +101,7 @@ def test_pair_rows_against_brute_force(spark):
             if flags[a] and flags[b]:
                 brute.setdefault(("phrase_reduced", a, b), []).append((u, section))
     sets = spark.createDataFrame(data, "item_type string, unit_id long, section string, item string, in_reduced boolean")
-    firsts = {u for u in range(60) if u % 3 == 0}
+    firsts = {u * step for u in range(60) if u % 3 == 0}
     first_units = spark.createDataFrame([(u,) for u in firsts], "unit_id long")
     got = {(r.variant, r.item_a, r.item_b): r for r in co.pair_rows(sets, first_units, Params(floor_item=1)).collect()}
     assert set(got) == set(brute)
