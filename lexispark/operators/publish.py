@@ -61,9 +61,9 @@ def promote_build(builds: DataFrame, decisions: DataFrame) -> DataFrame:
     accepted = decisions.where("accepted")
     per_build = accepted.groupBy("build").agg(
         F.max("at").alias("promoted_at"), F.max_by("reason", order).alias("promotion_reason"))
-    winner = accepted.agg(F.max_by("build", order).alias("_winner"))  # one row
-    return builds.join(per_build, "build", "left").join(F.broadcast(winner)).withColumn(
-        "is_current", F.coalesce(F.col("build") == F.col("_winner"), F.lit(False))).drop("_winner")
+    winner = accepted.agg(F.max_by("build", order).alias("build")).withColumn("_won", F.lit(True))  # one row
+    return builds.join(per_build, "build", "left").join(F.broadcast(winner), "build", "left").withColumn(
+        "is_current", F.coalesce("_won", F.lit(False))).drop("_won")
 
 
 def promote_subject(versions: DataFrame, log: DataFrame) -> DataFrame:

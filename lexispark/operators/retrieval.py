@@ -193,10 +193,12 @@ def unit_rule_legend(annotations: DataFrame, rules: DataFrame, units: DataFrame)
 
 def tag_vs_substring(tokens: DataFrame, units: DataFrame, item: str, value: str) -> DataFrame:
     """Units by exact item against units whose text merely contains it; one row."""
+    none = F.lit(0).cast("long")
     exact = tokens.where(F.col(item) == value).select("unit_id").distinct().agg(F.count(F.lit(1)).alias("by_item"))
     loose = units.where(F.contains("text_norm", F.lit(value))).agg(F.count(F.lit(1)).alias("by_substring"))
-    # one row each
-    return exact.join(F.broadcast(loose)).withColumn("differs", F.col("by_item") != F.col("by_substring"))
+    both = exact.withColumn("by_substring", none).unionByName(loose.withColumn("by_item", none))
+    return both.agg(F.max("by_item").alias("by_item"), F.max("by_substring").alias("by_substring")).withColumn(
+        "differs", F.col("by_item") != F.col("by_substring"))
 
 
 def with_ref(rows: DataFrame, *parts: str, name: str = "ref") -> DataFrame:

@@ -20,10 +20,12 @@ def _checked(spark, d):
         F.struct(F.lit("customers").alias("name"), F.col("n").alias("value")),
         F.struct(F.lit("mean_balance").alias("name"), F.col("mean").alias("value")),
         F.struct(F.lit("missing").alias("name"), F.lit(None).cast("double").alias("value")))))
-    rules = spark.createDataFrame(
-        [("customers", "differs", 0.0, None), ("mean_balance", "equals", 4500.0, 150.0), ("missing", "is_null", None, None)],
-        "name string, rule string, expected double, tolerance double")
-    return pu.verify(observed, rows.select("build").join(F.broadcast(rules)))  # a fixed list of three rules
+    rules = [("customers", "differs", 0.0, None), ("mean_balance", "equals", 4500.0, 150.0), ("missing", "is_null", None, None)]
+    number = lambda v: F.lit(v).cast("double")
+    expectations = rows.select("build", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(rule).alias("rule"), number(want).alias("expected"), number(tol).alias("tolerance"))
+        for name, rule, want, tol in rules])))
+    return pu.verify(observed, expectations)
 
 
 _CHECKED = """

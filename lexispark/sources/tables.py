@@ -106,6 +106,6 @@ def register_sources(registry: DataFrame, wanted: DataFrame, key: Sequence[str])
     """Get-or-create: the registry plus the missing entries, numbered on from the highest id."""
     missing = insert_unique(wanted.join(registry, list(key), "left_anti"), key)
     ranked = with_global_rank(missing, [F.col(k) for k in key], "_rank")
-    top = registry.agg(F.coalesce(F.max("source_id"), F.lit(0)).alias("_top"))  # one row
-    added = ranked.join(F.broadcast(top)).withColumn("source_id", F.col("_top") + F.col("_rank"))
+    top = registry.agg(F.max("source_id")).first()[0] or 0  # one number
+    added = ranked.withColumn("source_id", F.col("_rank") + F.lit(top))
     return registry.unionByName(added.select(*registry.columns))
