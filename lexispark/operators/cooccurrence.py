@@ -268,10 +268,20 @@ def collocation_table(
     """The pair table for both variants and all item types, with FDR flags."""
     flagged = flag_masked(tokens, ranges)
     sets = settle(item_sets(item_occurrences(flagged, item_columns)))
+    return collocations_of(sets, unit_scopes(flagged), first_units, p, forced)
+
+
+def collocations_of(
+    sets: DataFrame,
+    scopes: DataFrame,
+    first_units: DataFrame | None = None,
+    p: Params = Params(),
+    forced: Sequence[tuple[str, str, str]] = (),
+) -> DataFrame:
+    """The pair table from stored item sets and the variants' scopes."""
     pairs = pair_rows(sets, first_units, p, forced)
     # one row per item type and variant, one row per variant: safe to broadcast
-    totals = F.broadcast(unit_totals(sets))
-    scopes = F.broadcast(unit_scopes(flagged))
+    totals, scopes = F.broadcast(unit_totals(sets)), F.broadcast(scopes)
     scored = settle(with_statistics(
         pairs.join(totals, ["item_type", "variant"]).join(scopes, "variant"), p))
     return benjamini_hochberg(scored, ["variant", "item_type"], p.fdr_q)

@@ -69,8 +69,9 @@ def line_sets(spark, d):
 
 def line_table(spark, d):
     occ = line_occurrences(spark, d)
-    return once(spark, d, "line_table", lambda: co.collocation_table(
-        line_tokens(spark, d), LINE_ITEMS, ph.masked_ranges(occ), ph.first_instance_units(occ)))
+    flagged = co.flag_masked(line_tokens(spark, d), ph.masked_ranges(occ))
+    return once(spark, d, "line_table", lambda: co.collocations_of(
+        line_sets(spark, d), co.unit_scopes(flagged), ph.first_instance_units(occ)))
 
 
 BASKET_SETS2 = BASKETS + """,

@@ -26,6 +26,9 @@ def build_session(app: str = "lexispark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
@@ -36,9 +39,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    shared = tempfile.mkdtemp(prefix="lexispark-")
-    spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    app = spark.sparkContext.applicationId
+    if app not in _local_scratch:
+        _local_scratch[app] = tempfile.mkdtemp(prefix="lexispark-")
+    return _local_scratch[app]
 
 
 def settle(df: DataFrame) -> DataFrame:
