@@ -122,8 +122,7 @@ def upper_tail(x: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np
         term = term * ((n1 - j) * (n2 - j) / ((d1 + j) * (d2 + j)))
         acc = acc + term
         total[live] = acc
-        # Ratios fall with j, so the rest of the series is below term * r / (1 - r); once r <= 1/2
-        # or the term is this small nothing more reaches the sum.
+        # the ratios fall with j, so terms this small no longer reach the sum
         more = term > acc * 1e-22
         live, n1, n2, d1, d2, term, acc = (v[more] for v in (live, n1, n2, d1, d2, term, acc))
         j += 1.0

@@ -115,7 +115,8 @@ def pair_counts(sets: DataFrame, p: Params = Params(), floor: int | None = None)
     return unit_pairs(rows, p=p).groupBy("item_type", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab"))
 
 
-def _canonical(forced: Sequence[tuple[str, str, str]], spark) -> DataFrame:
+def canonical_pairs(forced: Sequence[tuple[str, str, str]], spark) -> DataFrame:
+    """The listed (item_type, item, item) with the smaller item (byte order) first."""
     rows = [(t, *sorted((a, b), key=lambda s: s.encode())) for t, a, b in forced]
     return spark.createDataFrame(rows, "item_type string, item_a string, item_b string").distinct()
 
@@ -161,7 +162,7 @@ def pair_rows(
     counts = marginals(sets)
     wanted = counts.where(F.col("n_raw") >= p.floor_item)
     if forced:
-        listed = _canonical(forced, spark)
+        listed = canonical_pairs(forced, spark)
         ends = listed.select("item_type", F.col("item_a").alias("item")).unionByName(
             listed.select("item_type", F.col("item_b").alias("item"))).distinct()
         rare = counts.where(F.col("n_raw") < p.floor_item).join(F.broadcast(ends), ["item_type", "item"], "left_semi")

@@ -10,7 +10,7 @@ from lexispark.operators import dispersion as di
 from lexispark.plans import builds as bd
 from lexispark.plans.registry import BASKETS, LINE_SETS, query
 from lexispark.session import settle
-from lexispark.sources.adapters import basket_tokens, line_tokens
+from lexispark.sources.adapters import basket_tokens
 
 
 @query("item_sets", f"WITH {bd.BASKET_SETS2} SELECT item_type, unit_id, section, item, in_reduced FROM sets")
@@ -79,7 +79,7 @@ _COUNT_COLUMNS = ["item_type", "variant", "item_a", "item_b", "n_a", "n_b", "n_a
 WITH {bd.BASKET_COLL} SELECT item_type, variant, item_a, item_b, n_a, n_b, n_ab, round(g2, 5) AS g2, fdr_significant FROM coll
 WHERE (item_type, item_a, item_b) IN (SELECT (item_type, item_a, item_b) FROM forced)""")
 def preregistered_pairs(spark, d):
-    listed = co._canonical(bd.FORCED, spark)
+    listed = co.canonical_pairs(bd.FORCED, spark)
     return bd.basket_table(spark, d).join(F.broadcast(listed), ["item_type", "item_a", "item_b"], "left_semi").select(
         *_COUNT_COLUMNS, F.round("g2", 5).alias("g2"), "fdr_significant")
 

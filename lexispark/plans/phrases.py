@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from lexispark.operators import cooccurrence as co
 from lexispark.operators import phrases as ph
 from lexispark.plans.registry import LINE_SETS, PHRASES, query

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexispark.operators import publish as pu
-from lexispark.plans import builds as bd
 from lexispark.plans.registry import query
 from lexispark.sources.adapters import table
 
@@ -176,8 +175,8 @@ def record_contracts(spark, d):
 
 
 def _curation(spark, d):
-    """Customers are curated entries; the last order of each, and of some unknown ones, is its change."""
-    entries = table(spark, d, "customer").where("c_custkey >= 20").select(
+    """Customers outside MACHINERY are curated entries; the last order of every customer is a change."""
+    entries = table(spark, d, "customer").where("c_mktsegment <> 'MACHINERY'").select(
         F.col("c_custkey").alias("entry_id"), F.col("c_name").alias("caption"), (F.col("c_mktsegment") == "BUILDING").alias("is_locked"),
         (F.col("c_acctbal") > 3000).alias("is_current"))
     last = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderpriority").groupBy("o_custkey").agg(
@@ -192,7 +191,7 @@ def _curation(spark, d):
 
 _CURATION = """
 entries AS (SELECT c_custkey AS entry_id, c_name AS caption, c_mktsegment = 'BUILDING' AS is_locked, c_acctbal > 3000 AS is_current
-  FROM customer WHERE c_custkey >= 20),
+  FROM customer WHERE c_mktsegment <> 'MACHINERY'),
 changes AS (SELECT max(o_orderkey) AS change_id, o_custkey AS entry_id, CASE arg_max(o_orderpriority, o_orderkey) WHEN '1-URGENT' THEN 'update'
   WHEN '2-HIGH' THEN 'delete' WHEN '3-MEDIUM' THEN 'promote' ELSE 'create' END AS action FROM orders GROUP BY o_custkey),
 outcomes AS (SELECT change_id, c.entry_id, action, 'changed by ' || change_id AS caption, CASE

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexispark.operators import cooccurrence as co
-from lexispark.operators import phrases as ph
 from lexispark.operators import retrieval as rt
 from lexispark.operators import spans as sp
 from lexispark.operators import statistics_view as sv
 from lexispark.plans import builds as bd
 from lexispark.plans.load import LETTERS_SQL, letter_dictionary, spaced_tokens
-from lexispark.plans.registry import LINE_SETS, LINES, TOKENS, query
+from lexispark.plans.registry import LINE_SETS, TOKENS, query
 from lexispark.plans.spans import SPANS, annotations
 from lexispark.session import with_global_rank
 from lexispark.sources.adapters import line_tokens, line_units, table

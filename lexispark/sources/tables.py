@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexispark.session import settle, with_global_rank
+from lexispark.session import with_global_rank
 
 SPAN_TYPE = "array<struct<rule:string,start:int,end:int>>"
 
