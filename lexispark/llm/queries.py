@@ -50,3 +50,16 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0
        sha256(coalesce(t, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans
 FROM w LEFT JOIN gone_at USING (doc_id) LEFT JOIN firsts USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lexispark.llm.bpe import encode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode(documents(spark, sf_dir).select("doc_id", "text"), path, decoded=True).select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

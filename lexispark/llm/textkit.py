@@ -177,3 +177,65 @@ def pre_token_spans(joined: Joined) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     real = cls[starts] != END
     starts, ends = starts[real], ends[real]
     return starts, ends, np.append(np.searchsorted(starts, joined.starts), len(starts))
+
+
+# ---- encoding by distinct pre-tokens ---------------------------------------------------------
+
+def gather(flat: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``flat[o:o + n]`` of all pairs, end to end."""
+    before = np.cumsum(lengths) - lengths
+    return flat[np.repeat(offsets - before, lengths) + np.arange(int(lengths.sum()))]
+
+
+class PieceEncoder:
+    """Encodes texts by their distinct pre-tokens; ids of pre-tokens seen before are remembered, up to ``limit`` of them.
+
+    ``encode`` gets a list of new pre-tokens and returns the ids of each.
+    """
+
+    def __init__(self, encode, limit: int = 800_000) -> None:
+        self.encode, self.limit = encode, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.used = 0
+        self.offsets = np.zeros(1 << 16, np.int64)
+        self.lengths = np.zeros(1 << 16, np.int64)
+
+    def _remember(self, keys: list[int], pieces: list[str]) -> None:
+        found = self.encode(pieces)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        total, at = int(lengths.sum()), len(self.slots)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while at + len(keys) > len(self.offsets):
+            self.offsets = np.concatenate((self.offsets, np.zeros_like(self.offsets)))
+            self.lengths = np.concatenate((self.lengths, np.zeros_like(self.lengths)))
+        self.flat[self.used:self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.lengths[at:at + len(keys)] = lengths
+        self.offsets[at:at + len(keys)] = self.used + np.cumsum(lengths) - lengths
+        self.used += total
+        self.slots.update(zip(keys, range(at, at + len(keys))))
+
+    def __call__(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts end to end, and the number of ids before each text (one more at the end)."""
+        joined = Joined(texts)
+        starts, ends, first = pre_token_spans(joined)
+        keys, example, inverse = np.unique(
+            span_hashes(joined.codes, starts, ends), return_index=True, return_inverse=True)
+        if len(self.slots) + len(keys) > self.limit:
+            self.clear()
+        listed, get = keys.tolist(), self.slots.get
+        slots = [get(k) for k in listed]
+        new = [i for i, s in enumerate(slots) if s is None]
+        if new:
+            text, low, high = joined.text, starts[example].tolist(), ends[example].tolist()
+            self._remember([listed[i] for i in new], [text[low[i]:high[i]] for i in new])
+            slots = [get(k) for k in listed]
+        slot = np.array(slots, np.int64)[inverse] if len(listed) else np.zeros(0, np.int64)
+        lengths = self.lengths[slot]
+        ids = gather(self.flat, self.offsets[slot], lengths)
+        before = np.concatenate(([0], np.cumsum(lengths)))
+        return ids, before[first]
