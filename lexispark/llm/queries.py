@@ -77,3 +77,32 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), 50257, end_id=2)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le32").alias("ids_crc32"))
+
+
+@query
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.chosen_path import near_groups
+
+    return near_groups(documents(spark, sf_dir).select("doc_id", "text"), width=3, percent=85).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL["op8_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.doc_id),
+comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
