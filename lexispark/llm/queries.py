@@ -106,3 +106,14 @@ comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
 FROM w JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.langid import identify, train
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", held_out)
+    model = train(docs.where(~F.col("held_out")))
+    return identify(docs.select("doc_id", "text", "held_out"), model).select(
+        "doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
