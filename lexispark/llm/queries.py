@@ -117,3 +117,30 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.where(~F.col("held_out")))
     return identify(docs.select("doc_id", "text", "held_out"), model).select(
         "doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+@query
+def op7_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the two given labels: 0 bad quality, 1 good but toxic, 2 good; kept if grade 1 is likelier than not."""
+    from lexispark.llm.ordinal import grade, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    rating = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
+    model = train(docs, labels.where(~held_out), rating, top=2)
+    return grade(docs, model, top=2).select(
+        "doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "expected_grade",
+        F.col("tail")[0].alias("p_good"), F.col("tail")[1].alias("p_best"), "kept")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.ftrl import score, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = train(docs, labels.where(~held_out), F.col("toxic"))
+    return score(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "score", "predicted")
