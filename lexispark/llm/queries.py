@@ -144,3 +144,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, labels.where(~held_out), F.col("toxic"))
     return score(docs, model).select(
         "doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.pfair import mix_sources
+
+    return mix_sources(documents(spark, sf_dir))
+
+
+SQL["op9_source_mix"] = r"""
+WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+e AS (SELECT source, (1024 - count(*) OVER ()) * sqrt(n) / sum(sqrt(n)) OVER () AS x FROM c),
+q AS (
+  SELECT source, CAST(floor(x) + 1 + CASE WHEN row_number() OVER (ORDER BY round(floor(x) - x, 9), source)
+         <= 1024 - count(*) OVER () - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quanta FROM e),
+tasks AS (SELECT list(quanta ORDER BY quanta DESC, source) AS q, list(source ORDER BY quanta DESC, source) AS s FROM q),
+sched(t, done, pick) AS (
+  SELECT -1, list_transform(q, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM tasks
+  UNION ALL
+  SELECT t, list_transform(done, lambda d, i: d + CASE WHEN i = pick THEN 1 ELSE 0 END), pick FROM (
+    SELECT t + 1 AS t, done, list_min(list_transform(range(1, len(q) + 1), lambda i:
+      CASE WHEN done[i] * 1024 // q[i] <= t + 1 THEN ((done[i] + 1) * 1024 + q[i] - 1) // q[i] * 100000 + i END)) % 100000
+      AS pick FROM sched, tasks WHERE t < 1023)),
+pattern AS (
+  SELECT s[pick] AS source, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn
+  FROM sched, tasks WHERE t >= 0),
+r AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS within
+  FROM documents),
+b AS (SELECT r.*, within // 16 AS block, quanta FROM r JOIN q USING (source)),
+p AS (
+  SELECT b.doc_id, b.source, block, (block // quanta) * 1024 + slot AS slot, within
+  FROM b JOIN pattern p ON p.source = b.source AND p.turn = block % quanta)
+SELECT doc_id, source, block, slot, row_number() OVER (ORDER BY slot, within) AS position FROM p
+"""
