@@ -179,3 +179,13 @@ p AS (
   FROM b JOIN pattern p ON p.source = b.source AND p.turn = block % quanta)
 SELECT doc_id, source, block, slot, row_number() OVER (ORDER BY slot, within) AS position FROM p
 """
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.target_ratio import judge, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    ratios = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("quality") == 1)
+    return judge(docs, ratios).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
