@@ -189,3 +189,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratios = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("quality") == 1)
     return judge(docs, ratios).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.iblt import fingerprints
+
+    return fingerprints(documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.col("d.edited.near").alias("near_edited"), F.col("d.next.near").alias("near_next"),
+        F.size("d.edited.gone").alias("n_gone"), F.size("d.edited.come").alias("n_come"),
+        F.col("d.edited.size").alias("cells_edited"), F.col("d.next.size").alias("cells_next"))
