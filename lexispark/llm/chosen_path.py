@@ -15,6 +15,7 @@ grows with the square of the node. All links are confirmed on full shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -102,6 +103,18 @@ def _sets(width: int):
     return run
 
 
+def _agreeing(trees: int, percent: int, risk: float = 1e-5) -> int:
+    """The most root minima that a pair of just enough similarity shares with probability 1 - ``risk``."""
+    count, share = trees * BRANCH, percent / 100
+    below, least = 0.0, 0
+    while least < count:
+        below += comb(count, least) * share**least * (1 - share) ** (count - least)
+        if below > risk:
+            break
+        least += 1
+    return least
+
+
 def _quick(trees: int) -> Column:
     """How many root minima of two documents agree, judged by a few bits of each."""
     x = F.col("code").bitwiseXOR(F.col("code_b"))
@@ -238,7 +251,7 @@ def near_groups(
     for piece in pieces[1:]:
         small = small.unionByName(piece)
     other = small.select("node", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("code").alias("code_b"))
-    fits = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & (_quick(trees) >= 3)
+    fits = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & (_quick(trees) >= _agreeing(trees, percent))
     pairs = settle(small.join(other, "node").where((F.col("rep") < F.col("b")) & fits).select(
         F.col("rep").alias("a"), "b").distinct())
     mass = masses[0]
@@ -247,7 +260,8 @@ def near_groups(
     mass = settle(mass)
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(
         mass.select("rep")).distinct()
-    texts = source.withColumnRenamed(_ROW, "rep").join(wanted, "rep")
+    # always a merge join: the key list grows with the input, and so the plan is the same at every size
+    texts = source.withColumnRenamed(_ROW, "rep").join(wanted.hint("merge"), "rep")
     sets = settle(texts.mapInArrow(_sets(width), "rep long, tokens array<long>").dropDuplicates(["rep"]))
     links = _confirmed(pairs, sets, percent)
     if not mass.isEmpty():
@@ -267,7 +281,8 @@ def near_groups(
         "row", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "row").alias("__group"))
     out = settle(keyed.select(_ROW, F.col(key).alias("__key")).join(
         labelled.withColumnRenamed("row", _ROW), _ROW))
-    least = out.groupBy("__group").agg(F.min("__key").alias("component_id"))
+    # stored before the join, so that a hot group of the other side can be split
+    least = settle(out.groupBy("__group").agg(F.min("__key").alias("component_id")))
     final = out.join(least, "__group").select(
         F.col(_ROW), "n_shingles", "component_id", F.col("__key").eqNullSafe(F.col("component_id")).alias("kept"))
     return keyed.join(final.dropDuplicates([_ROW]), _ROW).drop(_ROW)
