@@ -25,9 +25,12 @@ STEMS = (3, 4, 5, 6, 7)     # beginnings of longer words count as words too: inf
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 5.0, 0.5, 4
 
 
-def learn(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA,
+def learn(rows: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA,
           l1: float = L1, l2: float = L2, passes: int = PASSES) -> list[tuple[int, float]]:
-    """(bucket, weight) of all weights that are not zero; bucket -1 is the intercept, which L1 leaves alone."""
+    """(bucket, weight) of all weights that are not zero; bucket -1 is the intercept, which L1 leaves alone.
+
+    A feature is there or not, its count plays no part.
+    """
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     shrink = np.full(size + 1, l1)
@@ -76,7 +79,7 @@ def score(docs: DataFrame, model: list[tuple[int, float]], text: str = "text", t
         for batch in text_chunks(batches, text):
             owner, bucket = word_features(batch.column(text).to_pylist(), bits, stems=STEMS)
             known = weights[bucket] != 0
-            owner, bucket = distinct(owner[known], bucket[known], bits)
+            owner, bucket, _ = distinct(owner[known], bucket[known], bits)
             total = intercept + np.bincount(owner, weights[bucket], batch.num_rows)
             chance = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays(

@@ -1,7 +1,8 @@
 """Quality by ordinal regression: one weight vector over hashed text, ordered thresholds between grades.
 
 P(grade >= k) = sigmoid(w . x - t_k) with t_1 < t_2 < ...; all grades share w, so a text's grades are ordered by
-construction. x has one entry per distinct word, word pair and word end of the text, scaled to unit length. Thresholds
+construction. x has one entry per distinct word, word pair and word end of the text: the square root of its share of
+all of them, so x has unit length and what fills a text weighs more than what it has once. Thresholds
 are kept ordered by learning the logarithm of their gaps. It is fitted on a bounded sample (``SAMPLE``) by adaptive
 gradient steps in the order of a hash of the keys.
 """
@@ -21,7 +22,7 @@ from lexispark.llm.textkit import text_chunks
 
 SAMPLE = 8192       # labelled texts used for fitting, at most
 BITS = 18           # buckets of the feature space, as a power of two
-PASSES, RATE, DECAY = 6, 0.5, 1e-6
+PASSES, RATE, DECAY = 6, 0.2, 1e-6
 
 
 def _sigmoid(x: np.ndarray | float) -> np.ndarray | float:
@@ -32,7 +33,11 @@ def _thresholds(first: float, gaps: np.ndarray) -> np.ndarray:
     return first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
 
 
-def learn(rows: list[np.ndarray], grades: np.ndarray, top: int, bits: int = BITS, passes: int = PASSES,
+def _values(counts: np.ndarray, total: np.ndarray | float) -> np.ndarray:
+    return np.sqrt(counts / np.maximum(total, 1))
+
+
+def learn(rows: list[np.ndarray], counts: list[np.ndarray], grades: np.ndarray, top: int, bits: int = BITS, passes: int = PASSES,
           rate: float = RATE) -> list[tuple[int, float]]:
     """(bucket, weight), and the thresholds as buckets -1, -2, ..."""
     w, seen = np.zeros(1 << bits), np.full(1 << bits, 1e-8)
@@ -42,10 +47,10 @@ def learn(rows: list[np.ndarray], grades: np.ndarray, top: int, bits: int = BITS
     first, gaps = float(start[0]), np.log(np.maximum(np.diff(start), 1e-2))
     first_seen, gaps_seen = 1e-8, np.full(top - 1, 1e-8)
     for _ in range(passes):
-        for row, grade in zip(rows, grades):
-            value = 1 / np.sqrt(max(len(row), 1))
+        for row, count, grade in zip(rows, counts, grades):
+            value = _values(count, count.sum())
             t = _thresholds(first, gaps)
-            s = w[row].sum() * value
+            s = w[row] @ value
             upper = 1.0 if grade == 0 else _sigmoid(s - t[grade - 1])
             lower = 0.0 if grade == top else _sigmoid(s - t[grade])
             chance = max(upper - lower, 1e-9)
@@ -100,9 +105,9 @@ def grade(docs: DataFrame, model: list[tuple[int, float]], top: int, text: str =
             else:
                 w[bucket] = value
         for batch in text_chunks(batches, text):
-            owner, bucket = distinct(*_features(batch.column(text).to_pylist()), BITS)
-            count = np.bincount(owner, minlength=batch.num_rows)
-            s = np.bincount(owner, w[bucket], batch.num_rows) / np.sqrt(np.maximum(count, 1))
+            owner, bucket, count = distinct(*_features(batch.column(text).to_pylist()), BITS)
+            total = np.bincount(owner, count, batch.num_rows)
+            s = np.bincount(owner, w[bucket] * _values(count, total[owner]), batch.num_rows)
             tail = _sigmoid(s[:, None] - t[None, :])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in fields],
