@@ -129,19 +129,23 @@ def contract_violations(records: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def curation_outcomes(entries: DataFrame, changes: DataFrame) -> DataFrame:
-    """Decide a batch of edits: at most one change per entry; change_id, entry_id, action in
-    create, update, delete, promote."""
-    rows = changes.join(entries.select("entry_id", "is_locked", "is_current", F.lit(True).alias("_known")), "entry_id", "left")
+    """Decide a batch of edits: change_id, entry_id, action in create, update, delete, promote.
+
+    Of several changes of one entry the one with the highest change_id is decided, the others are superseded.
+    """
+    newest = changes.groupBy("entry_id").agg(F.max("change_id").alias("_newest"))
+    rows = changes.join(newest, "entry_id").join(entries.select("entry_id", "is_locked", "is_current", F.lit(True).alias("_known")), "entry_id", "left")
     action = F.col("action")
     reason = (
-        F.when(action == "create", F.when(F.col("_known"), "exists already"))
+        F.when(F.col("change_id") < F.col("_newest"), "superseded")
+        .when(action == "create", F.when(F.col("_known"), "exists already"))
         .when(F.col("_known").isNull(), "unknown entry")
         .when(action == "update", F.when(F.col("is_locked"), "locked").when(F.col("is_current"), "already published"))
         .when(action == "delete", F.when(F.col("is_locked"), "locked"))
         .when(action == "promote", F.when(F.col("is_current"), "already published"))
         .otherwise("unknown action")
     )
-    return rows.withColumn("rejected", reason).drop("_known", "is_locked", "is_current")
+    return rows.withColumn("rejected", reason).drop("_known", "_newest", "is_locked", "is_current")
 
 
 def apply_curation(entries: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -170,14 +170,35 @@ def resolve_examples(examples: DataFrame, units: DataFrame, texts: DataFrame) ->
     sides = shown.select("number", "example_id", F.inline(F.array(
         F.struct(F.lit("a").alias("side"), F.col("ref_a").alias("ref")),
         F.struct(F.lit("b").alias("side"), F.col("ref_b").alias("ref")))))
-    return expand_refs(sides).join(units, ["section", "seq"]).join(texts, "unit_id", "left")
+    return units_of_refs(sides, units).join(texts, "unit_id", "left")
 
 
-def expand_refs(rows: DataFrame, ref: str = "ref") -> DataFrame:
-    """One row per unit number of a reference; bad references are left out (see :func:`bad_refs`)."""
+_SPAN = 4096    # numbers handled together when a range of units is spread
+
+
+def _parsed(rows: DataFrame, ref: str) -> DataFrame:
+    """Rows with a usable reference, once per span of numbers that it touches."""
     parsed = rows.withColumn("_r", parse_ref(F.col(ref))).where(F.col("_r.error").isNull())
-    return parsed.withColumn("section", F.col("_r.section")).withColumn(
-        "seq", F.explode(F.sequence(F.col("_r.first"), F.col("_r.last")))).drop("_r")
+    spans = F.sequence(F.floor(F.col("_r.first") / _SPAN), F.floor(F.col("_r.last") / _SPAN))
+    return parsed.withColumn("section", F.col("_r.section")).withColumn("_span", F.explode(spans))
+
+
+def expand_refs(rows: DataFrame, ref: str = "ref") -> DataFrame:
+    """One row per unit number of a reference; bad references are left out (see :func:`bad_refs`).
+
+    A long range is spread in spans, so no row ever holds all of its numbers.
+    """
+    low = F.greatest(F.col("_r.first").cast("long"), F.col("_span") * _SPAN)
+    high = F.least(F.col("_r.last").cast("long"), F.col("_span") * _SPAN + (_SPAN - 1))
+    spread = F.transform(F.sequence(low, high), lambda n: n.cast("int"))
+    return _parsed(rows, ref).withColumn("seq", F.explode(spread)).drop("_r", "_span")
+
+
+def units_of_refs(rows: DataFrame, units: DataFrame, ref: str = "ref") -> DataFrame:
+    """The existing units (section, seq) of each reference; numbers without a unit are never made."""
+    placed = units.withColumn("_span", F.floor(F.col("seq") / _SPAN))
+    return _parsed(rows, ref).join(placed, ["section", "_span"]).where(
+        F.col("seq").between(F.col("_r.first"), F.col("_r.last"))).drop("_r", "_span")
 
 
 def bad_refs(rows: DataFrame, ref: str = "ref") -> DataFrame:

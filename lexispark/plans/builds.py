@@ -9,21 +9,19 @@ from lexispark.operators import dispersion as di
 from lexispark.operators import phrases as ph
 from lexispark.plans.registry import BASKETS
 from lexispark.session import settle
+from lexispark.sources import adapters
 from lexispark.sources.adapters import basket_tokens, line_tokens, line_units, table
 
 BASKET_ITEMS = {"brand": "brand", "type": "type"}
 LINE_ITEMS = {"root": "root", "lemma": "lemma"}
 FORCED = (("brand", "Brand#2", "Brand#1"), ("brand", "Brand#3", "Brand#missing"), ("brand", "Brand#nope", "Brand#missing"))
 
-_stored: dict[tuple, object] = {}
+TABLES = ("documents", "lineitem", "orders", "customer", "part")
 
 
 def once(spark, d, name, build):
-    """The named table for this folder, built on first use."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _stored:
-        _stored[key] = build()
-    return _stored[key]
+    """The named table for these files, built on first use and again when a file changes."""
+    return adapters.once(spark, d, TABLES, name, build)
 
 
 def stored(spark, d, name, build):

@@ -82,9 +82,11 @@ def insert_unique(spark, d):
 
 
 @query("insert_gap_audit", """
-WITH k AS (SELECT l_returnflag, l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)
-SELECT l_returnflag, CAST(sum(n) AS BIGINT) AS asked, count(*) AS stored, CAST(sum(n) - count(*) AS BIGINT) AS missing
-FROM k GROUP BY l_returnflag HAVING sum(n) <> count(*)""")
+WITH kept AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL),
+stored AS (SELECT l_returnflag, count(*) AS n FROM kept GROUP BY ALL),
+asked AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, a.n AS asked, coalesce(s.n, 0) AS stored, a.n - coalesce(s.n, 0) AS missing
+FROM asked a LEFT JOIN stored s USING (l_returnflag) WHERE a.n <> coalesce(s.n, 0)""")
 def insert_gap_audit(spark, d):
     return tb.insert_gap(table(spark, d, "lineitem", *_LINE_KEY, "l_returnflag"), _LINE_KEY, ["l_returnflag"])
 
@@ -94,8 +96,7 @@ WITH delta AS (SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal FRO
 SELECT c_custkey, c_name, coalesce(x.c_acctbal, c.c_acctbal) AS c_acctbal FROM customer c LEFT JOIN delta x USING (c_custkey)""")
 def update_from(spark, d):
     base = table(spark, d, "customer", "c_custkey", "c_name", "c_acctbal")
-    delta = table(spark, d, "orders", "o_custkey", "o_totalprice").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.max("o_totalprice").alias("c_acctbal"))
+    delta = table(spark, d, "orders", "o_custkey", "o_totalprice").toDF("c_custkey", "c_acctbal")    # many per customer
     return tb.update_from(base, delta, "c_custkey", "c_acctbal")
 
 
@@ -165,22 +166,24 @@ def _flags(spark, d):
         F.lit("toxic").alias("reason"))
     short = table(spark, d, "documents", "doc_id", "n_chars").where("n_chars < 2000").select(
         F.lit("document").alias("subject_type"), F.col("doc_id").alias("subject_id"), F.lit("text").alias("field"),
-        F.lit("short").alias("reason"))
-    return flags, short
+        F.explode(F.array(F.lit("short"), F.lit("check again"))).alias("reason"))
+    return flags, short     # every short document is flagged twice
 
 
 _FLAG_SQL = """
 WITH flags AS (SELECT 'document' AS subject_type, doc_id AS subject_id, 'text' AS field, 'toxic' AS reason FROM labels WHERE toxic = 1),
-short AS (SELECT 'document' AS subject_type, doc_id AS subject_id, 'text' AS field, 'short' AS reason FROM documents WHERE n_chars < 2000)
-SELECT * FROM flags UNION ALL SELECT * FROM short"""
+short AS (SELECT 'document' AS subject_type, doc_id AS subject_id, 'text' AS field, unnest(['short', 'check again']) AS reason
+  FROM documents WHERE n_chars < 2000)
+SELECT * FROM flags UNION ALL """
 
 
-@query("emit_flags_guarded", _FLAG_SQL + " WHERE subject_id NOT IN (SELECT subject_id FROM flags)")
+@query("emit_flags_guarded", _FLAG_SQL + """SELECT subject_type, subject_id, field, min(reason) FROM short
+WHERE subject_id NOT IN (SELECT subject_id FROM flags) GROUP BY ALL""")
 def emit_flags_guarded(spark, d):
     return ig.emit_flags(*_flags(spark, d))
 
 
-@query("emit_flags_always", _FLAG_SQL)
+@query("emit_flags_always", _FLAG_SQL + "SELECT * FROM short")
 def emit_flags_always(spark, d):
     return ig.emit_flags(*_flags(spark, d), guarded=False)
 
@@ -190,7 +193,7 @@ def spaced_tokens(units):
     words = F.filter(F.split("text", " "), lambda w: w != "")
     return units.select("unit_id", F.posexplode(words).alias("i", "form")).select(
         "unit_id", (F.col("i") + 1).alias("pos"), "form",
-        (F.col("unit_id") * 100000 + F.col("i") + 1).alias("token_id"))
+        F.struct("unit_id", (F.col("i") + 1).alias("pos")).alias("token_id"))
 
 
 @query("alignment_check", f"""

@@ -95,11 +95,16 @@ def current_version(spark, d):
     return pu.current_rows(rows, _promoted(spark, d)).select("c_custkey", "build")
 
 
-@query("publication_note", """
-SELECT CAST(NULL AS VARCHAR) AS build, 'no build has been published' AS note""")
+@query("publication_note", f"""
+WITH {_PROMOTED}, sets AS (SELECT 'all' AS kind, build, is_current FROM promoted UNION ALL
+  SELECT 'drafts', build, is_current FROM promoted WHERE NOT coalesce(is_current, false)),
+winner AS (SELECT kind, max(CASE WHEN is_current THEN build END) AS build FROM sets GROUP BY kind)
+SELECT kind, build, CASE WHEN build IS NULL THEN 'no build has been published' END AS note FROM winner""")
 def publication_note(spark, d):
-    builds = _promoted(spark, d).withColumn("is_current", F.col("is_current") & F.lit(False))
-    return pu.publication_note(builds)
+    """The note of all builds, one of them published, and of the drafts alone."""
+    builds = _promoted(spark, d)
+    noted = lambda kind, rows: pu.publication_note(rows).select(F.lit(kind).alias("kind"), "build", "note")
+    return noted("all", builds).unionByName(noted("drafts", builds.where("not coalesce(is_current, false)")))
 
 
 @query("promote_subject", """
@@ -151,12 +156,12 @@ def lineage(spark, d):
 
 
 @query("latest_verdicts", """
-SELECT l_orderkey AS record_id, arg_max(l_linestatus, (l_shipdate, l_partkey * 100000 + l_suppkey)) AS verdict, count(*) AS n_verdicts
+SELECT l_orderkey AS record_id, arg_max(l_linestatus, (l_shipdate, l_partkey, l_suppkey)) AS verdict, count(*) AS n_verdicts
 FROM lineitem GROUP BY 1""")
 def latest_verdicts(spark, d):
     rows = table(spark, d, "lineitem", "l_orderkey", "l_shipdate", "l_partkey", "l_suppkey", "l_linestatus").select(
         F.col("l_orderkey").alias("record_id"), F.col("l_shipdate").alias("at"),
-        (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("verdict_id"), F.col("l_linestatus").alias("verdict"))
+        F.struct("l_partkey", "l_suppkey").alias("verdict_id"), F.col("l_linestatus").alias("verdict"))
     return pu.latest_verdicts(rows)
 
 
@@ -175,26 +180,28 @@ def record_contracts(spark, d):
 
 
 def _curation(spark, d):
-    """Customers outside MACHINERY are curated entries; the last order of every customer is a change."""
+    """Customers outside MACHINERY are curated entries; every order of a customer is a change."""
     entries = table(spark, d, "customer").where("c_mktsegment <> 'MACHINERY'").select(
         F.col("c_custkey").alias("entry_id"), F.col("c_name").alias("caption"), (F.col("c_mktsegment") == "BUILDING").alias("is_locked"),
         (F.col("c_acctbal") > 3000).alias("is_current"))
-    last = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderpriority").groupBy("o_custkey").agg(
-        F.max(F.struct("o_orderkey", "o_orderpriority")).alias("o"))
+    orders = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderpriority")
+    priority = F.col("o_orderpriority")
     action = (
-        F.when(F.col("o.o_orderpriority") == "1-URGENT", "update").when(F.col("o.o_orderpriority") == "2-HIGH", "delete")
-        .when(F.col("o.o_orderpriority") == "3-MEDIUM", "promote").otherwise("create"))
-    changes = last.select(F.col("o.o_orderkey").alias("change_id"), F.col("o_custkey").alias("entry_id"), action.alias("action"),
-                          F.concat(F.lit("changed by "), F.col("o.o_orderkey")).alias("caption"))
+        F.when(priority == "1-URGENT", "update").when(priority == "2-HIGH", "delete")
+        .when(priority == "3-MEDIUM", "promote").otherwise("create"))
+    changes = orders.select(F.col("o_orderkey").alias("change_id"), F.col("o_custkey").alias("entry_id"), action.alias("action"),
+                            F.concat(F.lit("changed by "), F.col("o_orderkey")).alias("caption"))
     return entries, changes
 
 
 _CURATION = """
 entries AS (SELECT c_custkey AS entry_id, c_name AS caption, c_mktsegment = 'BUILDING' AS is_locked, c_acctbal > 3000 AS is_current
   FROM customer WHERE c_mktsegment <> 'MACHINERY'),
-changes AS (SELECT max(o_orderkey) AS change_id, o_custkey AS entry_id, CASE arg_max(o_orderpriority, o_orderkey) WHEN '1-URGENT' THEN 'update'
-  WHEN '2-HIGH' THEN 'delete' WHEN '3-MEDIUM' THEN 'promote' ELSE 'create' END AS action FROM orders GROUP BY o_custkey),
+changes AS (SELECT o_orderkey AS change_id, o_custkey AS entry_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'update'
+  WHEN '2-HIGH' THEN 'delete' WHEN '3-MEDIUM' THEN 'promote' ELSE 'create' END AS action,
+  max(o_orderkey) OVER (PARTITION BY o_custkey) AS newest FROM orders),
 outcomes AS (SELECT change_id, c.entry_id, action, 'changed by ' || change_id AS caption, CASE
+  WHEN change_id < newest THEN 'superseded'
   WHEN action = 'create' THEN CASE WHEN e.entry_id IS NOT NULL THEN 'exists already' END
   WHEN e.entry_id IS NULL THEN 'unknown entry'
   WHEN action = 'update' THEN CASE WHEN is_locked THEN 'locked' WHEN is_current THEN 'already published' END

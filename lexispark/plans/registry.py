@@ -26,12 +26,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # ---- shared pieces of SQL: the same adapters as lexispark.sources.adapters ----------------------
 
 LINES = r"""
+line_offsets AS (
+  SELECT doc_id, CAST(coalesce(sum(len(string_split(text, chr(10)))) OVER (
+    ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM documents),
 raw_lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text,
+  SELECT doc_id, source, before, unnest(string_split(text, chr(10))) AS text,
          generate_subscripts(string_split(text, chr(10)), 1) AS line_no
-  FROM documents),
+  FROM documents JOIN line_offsets USING (doc_id)),
 units AS (
-  SELECT doc_id * 1048576 + line_no AS unit_id, source AS section, text, trim(lower(text)) AS text_norm,
+  SELECT before + line_no AS unit_id, doc_id, source AS section, text, trim(lower(text)) AS text_norm,
          regexp_extract_all(lower(text), '[^ \t\r\n.,;:!?]+') AS words
   FROM raw_lines WHERE trim(text) <> '')"""
 

@@ -42,11 +42,11 @@ def current_label_with_test(spark, d):
 @query("occurrences_by_item", f"""
 WITH {TOKENS}
 SELECT t.unit_id, t.pos, t.lemma, t.root, t.section || ':' || t.unit_id || ':' || t.pos AS ref, 'q' || quality AS label, 1 AS layer
-FROM tokens t LEFT JOIN labels l ON l.doc_id = t.unit_id // 1048576 AND toxic = 0 AND quality <> 0 WHERE length(root) = 3""")
+FROM tokens t JOIN units u USING (unit_id) LEFT JOIN labels l ON l.doc_id = u.doc_id AND toxic = 0 AND quality <> 0 WHERE length(root) = 3""")
 def occurrences_by_item(spark, d):
     tokens = line_tokens(spark, d)
     items = tokens.where(F.char_length("root") == 3).select("root").distinct()
-    units = line_units(spark, d).select("unit_id", (F.floor(F.col("unit_id") / 1048576)).alias("doc"))
+    units = line_units(spark, d).select("unit_id", F.col("doc_id").alias("doc"))
     labels = rt.current_labels(_labels(spark, d)).withColumnRenamed("unit_id", "doc")
     hits = rt.occurrences_by_item(tokens, items, units).join(labels, "doc", "left")
     return rt.with_ref(hits, "section", "unit_id", "pos").select("unit_id", "pos", "lemma", "root", "ref", "label", "layer")
@@ -215,7 +215,7 @@ def preferred_language(spark, d):
 WITH {SPANS}, {_PREFERRED},
 seg AS (SELECT token_id, count(*) AS n_segments FROM pieces GROUP BY token_id)
 SELECT u.unit_id, 'q' || quality AS label, p.source_id AS text_source, pos, form, 'gloss of ' || form AS gloss, coalesce(n_segments, 0) AS n_segments
-FROM units u LEFT JOIN labels l ON l.doc_id = u.unit_id // 1048576 AND toxic = 0 AND quality <> 0
+FROM units u LEFT JOIN labels l ON l.doc_id = u.doc_id AND toxic = 0 AND quality <> 0
 LEFT JOIN preferred p ON p.section = u.section LEFT JOIN toks t ON t.unit_id = u.unit_id LEFT JOIN seg USING (token_id)""")
 def unit_bundle(spark, d):
     units = line_units(spark, d)
@@ -223,7 +223,7 @@ def unit_bundle(spark, d):
     kept = sp.guarded_annotations(annotations(units), units, tokens)
     segments = sp.segments_per_token(sp.project_spans(kept, sp.token_offsets(tokens)))
     glosses = tokens.select("token_id", F.concat(F.lit("gloss of "), "form").alias("gloss"))
-    per_unit = units.select("unit_id", "section", F.floor(F.col("unit_id") / 1048576).alias("doc"))
+    per_unit = units.select("unit_id", "section", F.col("doc_id").alias("doc"))
     labels = per_unit.join(rt.current_labels(_labels(spark, d)).withColumnRenamed("unit_id", "doc"), "doc").select("unit_id", "label")
     texts = per_unit.join(preferred_language(spark, d), "section").select("unit_id", F.col("source_id").alias("text_source"))
     bundle = rt.unit_bundle(units.select("unit_id"), tokens, labels, texts, glosses, segments)
@@ -246,7 +246,7 @@ def resolve_examples(spark, d):
         F.concat(key, F.lit(":1-3")).alias("ref_a"), F.concat(key, F.lit(":2")).alias("ref_b"))
     docs = table(spark, d, "documents", "doc_id", "text", "lang")
     units = docs.select(key.alias("section"), F.posexplode(F.split("text", "\n")).alias("i", "line")).select(
-        "section", (F.col("i") + 1).alias("seq"), (F.col("section") * 1048576 + F.col("i") + 1).alias("unit_id"),
+        "section", (F.col("i") + 1).alias("seq"), F.struct("section", "i").alias("unit_id"),
         F.char_length("line").cast("long").alias("n_chars"))
     texts = units.select("unit_id", F.col("section").alias("doc_id")).join(docs.select("doc_id", "lang"), "doc_id").select("unit_id", "lang")
     return rt.resolve_examples(examples, units, texts).select("number", "example_id", "side", "seq", "n_chars", "lang")

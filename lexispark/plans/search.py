@@ -12,39 +12,44 @@ from lexispark.sources.adapters import line_tokens, table
 
 def form_tokens(spark, d):
     return line_tokens(spark, d).select(
-        (F.col("unit_id") * 100000 + F.col("pos")).alias("token_id"), "unit_id", F.col("norm").alias("form"), "norm", "lemma")
+        F.struct("unit_id", "pos").alias("token_id"), "unit_id", F.concat(F.lit("<"), "norm", F.lit(">")).alias("form"), "norm",
+        F.reverse("lemma").alias("lemma"))
 
 
 @query("search_tokens", f"""
-WITH {TOKENS}, hits AS (SELECT norm, min(unit_id * 100000 + pos) AS token_id FROM tokens WHERE contains(norm, 'thor') GROUP BY norm)
-SELECT norm, token_id FROM hits ORDER BY length(norm), token_id LIMIT 20""")
+WITH {TOKENS}, hits AS (SELECT norm, min({{'unit_id': unit_id, 'pos': pos}}) AS token_id FROM tokens
+  WHERE contains('<' || norm || '>', 'on>') OR starts_with(norm, 'thor') OR contains(reverse(lemma), 'on>') GROUP BY norm)
+SELECT norm, token_id.unit_id AS unit_id, token_id.pos AS pos FROM hits ORDER BY length(norm), token_id LIMIT 20""")
 def search_tokens(spark, d):
-    return se.search_tokens(form_tokens(spark, d), "thor", "thor", 20).select("norm", "token_id")
+    return se.search_tokens(form_tokens(spark, d), "on>", "thor", 20).select("norm", "token_id.unit_id", "token_id.pos")
 
 
 @query("search_tokens_many", f"""
-WITH {TOKENS}, vocab AS (SELECT norm, min(unit_id * 100000 + pos) AS token_id, count(*) AS occurrences FROM tokens GROUP BY norm),
+WITH {TOKENS}, vocab AS (SELECT norm, min({{'unit_id': unit_id, 'pos': pos}}) AS token_id, count(*) AS occurrences FROM tokens GROUP BY norm),
 q AS (SELECT n_nationkey AS query_id, lower(left(r_name, 2)) AS query_norm FROM nation JOIN region ON r_regionkey = n_regionkey)
-SELECT query_id, norm, token_id, occurrences, CAST(row_number() OVER (PARTITION BY query_id ORDER BY length(norm), token_id) AS INTEGER) AS rank
+SELECT query_id, norm, token_id.unit_id AS unit_id, token_id.pos AS pos, occurrences, CAST(row_number() OVER (PARTITION BY query_id ORDER BY length(norm), token_id) AS INTEGER) AS rank
 FROM vocab JOIN q ON starts_with(norm, query_norm) QUALIFY rank <= 20""")
 def search_tokens_many(spark, d):
     nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     queries = nations.select(F.col("n_nationkey").alias("query_id"), F.lower(F.substring("r_name", 1, 2)).alias("query_norm"))
-    return se.search_tokens_many(form_tokens(spark, d), queries, 20).select("query_id", "norm", "token_id", "occurrences", "rank")
+    return se.search_tokens_many(form_tokens(spark, d), queries, 20).select(
+        "query_id", "norm", "token_id.unit_id", "token_id.pos", "occurrences", "rank")
 
 
 def _dictionary(spark, d):
-    """Part names with their type as transliteration, counted over sold lines."""
+    """Part names with their type as transliteration, counted over all order lines, and the same names unsold."""
     parts = table(spark, d, "part", "p_partkey", "p_name", "p_type")
     names = parts.groupBy(F.col("p_name").alias("item")).agg(F.lower(F.min("p_type")).alias("translit"))
-    sold = table(spark, d, "lineitem", "l_partkey", "l_quantity").where("l_quantity >= 50").join(
+    names = names.unionByName(names.withColumn("item", F.concat("item", F.lit(" (new)"))))
+    sold = table(spark, d, "lineitem", "l_partkey").join(
         parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_name").alias("item"))
     return rt.count_with_zero(names, sold, "item")
 
 
 _DICT = """
-names AS (SELECT p_name AS item, lower(min(p_type)) AS translit FROM part GROUP BY p_name),
-sold AS (SELECT p_name AS item, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50 GROUP BY p_name),
+known AS (SELECT p_name AS item, lower(min(p_type)) AS translit FROM part GROUP BY p_name),
+names AS (SELECT * FROM known UNION ALL SELECT item || ' (new)', translit FROM known),
+sold AS (SELECT p_name AS item, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name),
 dict AS (SELECT item, translit, coalesce(n, 0) AS occurrences FROM names LEFT JOIN sold USING (item))"""
 _ITEM_HITS = "SELECT * FROM dict WHERE contains(item, 'd w') OR contains(replace(item, ' ', ''), 'dw') OR contains(translit, 'd w')"
 
@@ -62,8 +67,8 @@ def search_items(spark, d):
 @query("search_all", f"""
 WITH {_DICT}, {TOKENS}
 SELECT 'item' AS category, item AS label FROM ({_ITEM_HITS} ORDER BY occurrences DESC, item LIMIT 5)
-UNION ALL SELECT 'token', norm FROM (SELECT norm, min(unit_id * 100000 + pos) AS token_id FROM tokens WHERE contains(norm, 'd w')
-  OR contains(norm, 'and') GROUP BY norm ORDER BY length(norm), token_id LIMIT 5)""")
+UNION ALL SELECT 'token', norm FROM (SELECT norm, min({{'unit_id': unit_id, 'pos': pos}}) AS token_id FROM tokens WHERE contains('<' || norm || '>', 'and')
+  OR contains(reverse(lemma), 'and') GROUP BY norm ORDER BY length(norm), token_id LIMIT 5)""")
 def search_all(spark, d):
     return se.search_all(se.search_items(_dictionary(spark, d), "d w", "d w", 5),
                          se.search_tokens(form_tokens(spark, d), "and", "and", 5))

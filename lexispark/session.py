@@ -81,6 +81,24 @@ def with_global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataF
     )
 
 
+def with_global_sum(df: DataFrame, order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows before a row in a total order, without sorting all rows in one task.
+
+    As in :func:`with_global_rank`, only one row per partition of the range sort meets in one task.
+    """
+    place = F.monotonically_increasing_id()
+    placed = settle(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_place", place))
+    sums = placed.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .drop("_part", "_place", "_before")
+    )
+
+
 def running_total(df: DataFrame, key: str, pos: str, value: Column, name: str, block: int = 1024) -> DataFrame:
     """Exclusive running sum of ``value`` by integer position ``pos`` within ``key``.
 

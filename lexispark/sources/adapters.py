@@ -2,28 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
+from lexispark.session import settle, with_global_sum
 from lexispark.sources.tables import read_table
 
-# a document's lines are numbered inside the id, so unit order is document order then line order
-LINE_SPAN = 1 << 20
+_stored: dict[tuple, object] = {}
+
+
+def files_key(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """Identity of the named tables' files: how many, and a digest of their paths, sizes and times of change."""
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{name}.parquet" for name in names])
+    digest = F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))
+    return tuple(files.agg(F.count(F.lit(1)), digest).first())  # one row
+
+
+def once(spark: SparkSession, sf_dir: str, names: tuple[str, ...], what: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table made from the named ones on first use; made anew when a file of theirs changes."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    identity = files_key(spark, sf_dir, *names)
+    if key not in _stored or _stored[key][0] != identity:
+        _stored[key] = (identity, build())
+    return _stored[key][1]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet", *columns)
 
 
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, before: how many lines all documents with smaller ids have."""
+    def build() -> DataFrame:
+        docs = table(spark, sf_dir, "documents", "doc_id", "text")
+        sizes = docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n"))
+        return settle(with_global_sum(sizes, [F.col("doc_id")], "n", "before").select("doc_id", "before"))
+
+    return once(spark, sf_dir, ("documents",), "line_offsets", build)
+
+
 def line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Non-empty document lines: unit_id, section, text, text_norm, words."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    """Non-empty document lines: unit_id, doc_id, section, text, text_norm, words.
+
+    Lines are numbered through all documents in the order of their ids, so neither the number of lines of a document
+    nor the size of its id is bounded by the form of a unit id.
+    """
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text").join(line_offsets(spark, sf_dir), "doc_id")
+    lines = docs.select("doc_id", "source", "before", F.posexplode(F.split("text", "\n")).alias("i", "text"))
     return (
         lines.where(F.trim("text") != "")
         .select(
-            (F.col("doc_id") * LINE_SPAN + F.col("i") + 1).alias("unit_id"),
+            (F.col("before") + F.col("i") + 1).alias("unit_id"),
+            "doc_id",
             F.col("source").alias("section"),
             "text",
             F.trim(F.lower("text")).alias("text_norm"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,16 +86,22 @@ def insert_unique(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def insert_gap(rows: DataFrame, key: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Audit of :func:`insert_unique` per ``by``: asked, stored and a flag row where they differ."""
-    per_key = rows.groupBy(*dict.fromkeys([*by, *key])).agg(F.count(F.lit(1)).alias("_n"))
-    totals = per_key.groupBy(*by).agg(
-        F.sum("_n").alias("asked"), F.count(F.lit(1)).alias("stored"))
+    """Audit of :func:`insert_unique` per ``by``: asked, stored and a flag row where they differ.
+
+    Stored rows are those that the insert really keeps, so a key met in several groups counts in the group of its kept
+    row only, and the stored counts of all groups sum to the size of the table.
+    """
+    asked = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("asked"))
+    kept = insert_unique(rows, key).groupBy(*by).agg(F.count(F.lit(1)).alias("_stored"))
+    same = [asked[c].eqNullSafe(kept[c]) for c in by]
+    totals = asked.join(kept, reduce(Column.__and__, same), "left").select(
+        *[asked[c] for c in by], "asked", F.coalesce("_stored", F.lit(0).cast("long")).alias("stored"))
     return totals.where("asked <> stored").withColumn("missing", F.col("asked") - F.col("stored"))
 
 
 def update_from(base: DataFrame, delta: DataFrame, key: str, column: str) -> DataFrame:
-    """``base`` with ``column`` taken from ``delta`` where the key matches."""
-    new = delta.select(key, F.col(column).alias("_new"))
+    """``base`` with ``column`` taken from ``delta`` where the key matches; of several new values the largest counts."""
+    new = delta.groupBy(key).agg(F.max(column).alias("_new"))
     return (
         base.join(new, key, "left")
         .withColumn(column, F.coalesce("_new", F.col(column)))
