@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,6 @@ from lexispark.operators.fdr import benjamini_hochberg
 from lexispark.params import RAW, REDUCED, Params
 from lexispark.session import settle, with_global_rank
 
-# Places of the fields in the wide form of `_section_rank`: section code (8 digits), unit id (18 digits).
-_CODE = 10**8
-_UNIT = 10**18
-
 
 def mask_ranges(tokens: DataFrame, ranges: DataFrame) -> DataFrame:
     """Tokens outside every masked range of their unit."""
@@ -124,27 +121,27 @@ def canonical_pairs(forced: Sequence[tuple[str, str, str]], spark) -> DataFrame:
 def _section_rank(sets: DataFrame, items: DataFrame, names: DataFrame):
     """How to pack (count, first unit, section code) into one orderable number, and to read the code back.
 
-    Highest count first, then lowest unit id. One number keeps the aggregation a hash aggregate;
-    a struct would force a sort. The fields get the widths the data needs: a LONG if that is
-    enough, else a DECIMAL(38) with 12, 18 and 8 digits.
+    Highest count first, then lowest unit id. One number keeps the aggregation a hash aggregate; a struct would force a
+    sort. Every field is as wide as the data make it; the number is a LONG where that is wide enough and a DECIMAL(38)
+    otherwise, of the same value. Data that do not fit even there are refused, never folded into each other.
     """
     u = sets.agg(F.min("unit_id").alias("low"), F.max("unit_id").alias("high")).first()  # single numbers
     n, k = items.agg(F.max("n_raw")).first()[0] or 1, names.agg(F.max("code")).first()[0] or 1
     low, high = (u.low, u.high) if u.low is not None else (0, 0)
     units, codes = high - low + 1, k + 1
-    if (n + 1) * units * codes < 2**63:
-        def pack(count, unit, code):
-            return (count * units + (F.lit(high) - unit)) * codes + code
-
-        return pack, lambda c: F.pmod(c, F.lit(codes)).cast("long")
+    needed = (n + 1) * units * codes
+    if needed >= 10**38:
+        raise ValueError(f"ranks of sections need {needed} values, more than 38 digits hold")
+    kind = "bigint" if needed < 2**63 else "decimal(38,0)"
 
-    dec = lambda c: c.cast("decimal(38,0)")
+    def number(value):
+        return F.lit(Decimal(value)).cast(kind) if isinstance(value, int) else value.cast(kind)
 
-    def pack_wide(count, unit, code):
-        return (dec(dec(count) * F.lit(_CODE).cast("decimal(9,0)")) * F.lit(_UNIT).cast("decimal(19,0)")
-                + dec(dec(F.lit(_UNIT - 1) - unit) * F.lit(_CODE).cast("decimal(9,0)")) + dec(code)).cast("decimal(38,0)")
+    def pack(count, unit, code):
+        behind = number(high) - number(unit)
+        return ((number(count) * number(units)).cast(kind) + behind).cast(kind) * number(codes) + number(code)
 
-    return pack_wide, lambda c: F.pmod(c, F.lit(_CODE).cast("decimal(9,0)")).cast("long")
+    return lambda *fields: pack(*fields).cast(kind), lambda c: F.pmod(c, number(codes)).cast("long")
 
 
 def pair_rows(

@@ -87,11 +87,11 @@ def test_pairs_of_large_units_are_complete(spark, block):
     assert sorted(got) == want
 
 
-@pytest.mark.parametrize("step", [1, 10**16])
-def test_pair_rows_against_brute_force(spark, step):
+@pytest.mark.parametrize("step,low", [(1, 0), (10**16, 0), (1, 10**18), (3 * 10**17, -9 * 10**18)])
+def test_pair_rows_against_brute_force(spark, step, low):
     rng = random.Random(5)
     data, brute = [], {}
-    for u in range(0, 60 * step, step):  # wide unit ids need the wide packing
+    for u in range(low, low + 60 * step, step):  # wide and negative unit ids need the wide packing
         section = f"s{rng.randint(0, 3)}"
         items = {f"i{rng.randint(0, 7)}" for _ in range(rng.randint(1, 6))}
         flags = {i: rng.random() < 0.7 for i in items}
@@ -101,7 +101,7 @@ def test_pair_rows_against_brute_force(spark, step):
             if flags[a] and flags[b]:
                 brute.setdefault(("phrase_reduced", a, b), []).append((u, section))
     sets = spark.createDataFrame(data, "item_type string, unit_id long, section string, item string, in_reduced boolean")
-    firsts = {u * step for u in range(60) if u % 3 == 0}
+    firsts = {low + u * step for u in range(60) if u % 3 == 0}
     first_units = spark.createDataFrame([(u,) for u in firsts], "unit_id long")
     got = {(r.variant, r.item_a, r.item_b): r for r in co.pair_rows(sets, first_units, Params(floor_item=1)).collect()}
     assert set(got) == set(brute)
@@ -209,7 +209,7 @@ def test_normalize_arabic(spark):
 
 def test_cited_ids_and_strings():
     node = {"x": [{"unit_id": 7}], "cited_unit_ids": [1, "2", "n", True, {"UNIT_ID": "8"}], "unit_idx": 5, "unit_ids": 9}
-    assert au.ids_in(node, "unit_id") == [7, 1, 2, 8]
+    assert au.ids_in(node, "unit_id") == ([7, 1, 2, 8], [])
     assert au.strings_in({"a": "x", "b": [{"c": "y"}, 3, "z"]}) == ["x", "y", "z"]
 
 
@@ -338,3 +338,33 @@ def test_alignment(spark):
     units = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, ""), (4, "x")], "unit_id long, text string")
     tokens = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (2, 2, "b"), (4, 1, "y")], "unit_id long, pos int, form string")
     assert rows(ig.alignment_check(units, tokens)) == [(1, True), (2, False), (3, True), (4, False)]
+
+
+def test_hostile_payloads_end_no_job(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    rows_ = [(1, '{"unit_id": 1e999}'), (2, '{"unit_id": NaN}'), (3, '{"unit_id": 12345678901234567890}'), (4, '{"unit_id": "' + "9" * 40 + '"}'),
+             (5, '{"a": 1, "unit_id": ' + deep + "}"), (6, '{"unit_id": '), (7, None), (8, '{"unit_id": [1, {"unit_id": 2}, [3]], "x": "unit_id"}'),
+             (9, '{"unit\\u005fid": 5}'), (10, '{"unit_ids": {"unit_ids": [1, 2], "k": 4}}'), (11, '"unit_id"')]
+    df = spark.createDataFrame(rows_, "i int, payload string").select("i", au.scan_citations(F.col("payload")).alias("s"))
+    got = {r.i: (list(r.s.ids), len(r.s.rejected)) for r in df.collect()}
+    assert got == {1: ([], 1), 2: ([], 1), 3: ([], 1), 4: ([], 1), 5: ([], 1), 6: ([], 1), 7: ([], 0), 8: ([1, 2], 0), 9: ([5], 0),
+                   10: ([4], 0), 11: ([], 0)}
+
+
+def test_lines_are_numbered_without_bounds(spark, tmp_path):
+    """More lines than 2**20 in one document, and document ids near the end of a long."""
+    from lexispark.sources.adapters import line_units
+    docs = [(10**12, "s", "a\n" * (2**20 + 5)), (2**62, "s", "b\n\nc"), (-5, "s", "x")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    units = line_units(spark, str(tmp_path)).select("unit_id", "doc_id", "text")
+    assert units.count() == units.select("unit_id").distinct().count() == 2**20 + 5 + 3
+    last = {r.text: r.unit_id for r in units.where("text in ('b', 'c', 'x')").collect()}
+    assert last == {"x": 1, "b": 1 + 2**20 + 6 + 1, "c": 1 + 2**20 + 6 + 3}
+
+
+def test_a_long_range_is_not_spread_over_missing_units(spark):
+    from lexispark.operators import retrieval as rt
+    refs = spark.createDataFrame([("1:1-2000000000",), ("1:5",), ("2:1",)], "ref string")
+    units = spark.createDataFrame([(1, 1), (1, 5), (1, 9000), (3, 1)], "section int, seq int")
+    assert sorted((r.ref, r.seq) for r in rt.units_of_refs(refs, units).collect()) == [
+        ("1:1-2000000000", 1), ("1:1-2000000000", 5), ("1:1-2000000000", 9000), ("1:5", 5)]
