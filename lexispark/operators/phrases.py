@@ -97,10 +97,19 @@ def ngram_occurrences(assigned: DataFrame) -> DataFrame:
     )
 
 
-def phrase_occurrences(units: DataFrame, tokens: DataFrame, p: Params = Params()) -> DataFrame:
-    """Both detectors together."""
-    lengths = unit_lengths(tokens)
-    grams = final_ngrams(unit_tails(tokens, lengths, p), p)
+def word_tails(units: DataFrame, p: Params = Params()) -> DataFrame:
+    """:func:`unit_tails` of units that hold their words as an array: nothing is exploded or shuffled."""
+    some = units.where(F.size("words") > 0)
+    last = F.when(F.size("words") <= p.ngram_max_n, F.col("words")).otherwise(
+        F.slice("words", -p.ngram_max_n, p.ngram_max_n))
+    return some.select("unit_id", F.size("words").cast("long").alias("n_tokens"), last.alias("tail"))
+
+
+def phrase_occurrences(units: DataFrame, tokens: DataFrame | None = None, p: Params = Params()) -> DataFrame:
+    """Both detectors together; without ``tokens`` the units' own ``words`` are used, which costs no token shuffle."""
+    tails = word_tails(units, p) if tokens is None else unit_tails(tokens, unit_lengths(tokens), p)
+    lengths = tails.select("unit_id", "n_tokens")
+    grams = final_ngrams(tails, p)
     assigned = longest_assignment(grams, qualifying_patterns(grams, p))
     return full_unit_repeats(units, lengths, p).unionByName(ngram_occurrences(assigned)).select(*_OCCURRENCE)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -91,6 +91,26 @@ def lineage(records: DataFrame) -> DataFrame:
         "n_children", F.coalesce("n_children", F.lit(0).cast("long")))
 
 
+def lineage_children(records: DataFrame) -> DataFrame:
+    """Every child of a known record with its statement; place counts a record's children in the order of their ids."""
+    known = records.select(F.col("record_id").alias("parent_id"))
+    kids = records.join(known, "parent_id").select(
+        F.col("parent_id").alias("record_id"), F.col("record_id").alias("child_id"), F.col("statement").alias("child_statement"))
+    return kids.withColumn("place", F.row_number().over(Window.partitionBy("record_id").orderBy("child_id")))
+
+
+def verdict_history(verdicts: DataFrame) -> DataFrame:
+    """All verdicts of a record, newest first."""
+    newest = Window.partitionBy("record_id").orderBy(F.desc("at"), F.desc("verdict_id"))
+    return verdicts.withColumn("place", F.row_number().over(newest))
+
+
+def evidence_with_units(records: DataFrame, evidence: DataFrame, units: DataFrame) -> DataFrame:
+    """Evidence rows of known records with the unit they point to; evidence without a unit keeps its row."""
+    known = evidence.join(records.select("record_id"), "record_id", "left_semi")
+    return known.join(units, "unit_id", "left")
+
+
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:
     """Newest verdict per record and the length of its history."""
     order = F.struct("at", "verdict_id")

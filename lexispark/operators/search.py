@@ -24,16 +24,30 @@ def search_tokens(tokens: DataFrame, query: str, query_norm: str, limit: int = 2
 
 
 def search_tokens_many(tokens: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """Prefix search for many queries at once (query_id, query_norm): an equi-join on the first letters.
+    """:func:`search_tokens` for many queries at once (query_id, query, query_norm).
 
-    Every query is joined on its own prefix length, so nothing is compared with everything.
+    Norms are reduced to distinct (norm, form, lemma) first. Of these only pieces as long as some query are made:
+    beginnings of the norm, all places in form and lemma. A query then meets its hits by equality.
     """
-    lengths = F.transform(F.sequence(F.lit(1), F.char_length("norm")), lambda n: F.substring(F.col("norm"), F.lit(1), n))
-    vocabulary = tokens.groupBy("norm").agg(F.min("token_id").alias("token_id"), F.count(F.lit(1)).alias("occurrences"))
-    prefixes = vocabulary.select("norm", "token_id", "occurrences", F.explode(lengths).alias("query_norm"))
-    hits = prefixes.join(queries, "query_norm")
+    lengths = sorted(r[0] for r in queries.select(F.explode(F.array(
+        F.char_length("query"), F.char_length("query_norm"))).alias("n")).where("n > 0").distinct().collect())  # few numbers
+    counts = tokens.groupBy("norm").agg(F.count(F.lit(1)).alias("occurrences"))
+    kinds = tokens.groupBy("norm", "form", "lemma").agg(F.min("token_id").alias("token_id"))
+    every = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+
+    def places(name: str) -> Column:
+        text = F.col(name)
+        return F.flatten(F.transform(F.filter(every, lambda n: n <= F.char_length(text)), lambda n: F.transform(
+            F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, n))))
+
+    begins = F.transform(F.filter(every, lambda n: n <= F.char_length("norm")), lambda n: F.substring(F.col("norm"), F.lit(1), n))
+    inside = kinds.select("norm", "token_id", F.explode(F.array_distinct(F.concat(places("form"), places("lemma")))).alias("query"))
+    ahead = kinds.select("norm", "token_id", F.explode(begins).alias("query_norm"))
+    hits = inside.join(queries.select("query_id", "query"), "query").select("query_id", "norm", "token_id").unionByName(
+        ahead.join(queries.select("query_id", "query_norm"), "query_norm").select("query_id", "norm", "token_id"))
+    one = hits.groupBy("query_id", "norm").agg(F.min("token_id").alias("token_id")).join(counts, "norm")
     order = Window.partitionBy("query_id").orderBy(F.char_length("norm"), F.col("token_id"))
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def search_items(counted: DataFrame, query: str, query_norm: str, limit: int = 20) -> DataFrame:

@@ -98,6 +98,17 @@ def group_by_direction(view: DataFrame) -> DataFrame:
         F.max("g2").alias("max_g2"))
 
 
+def direction_lists(view: DataFrame) -> DataFrame:
+    """Partners of each item, variant and direction in the order of the groups: strongest first, then byte order.
+
+    One row per partner with its place, so a common item's list is rows, never one value.
+    """
+    order = F.when(F.col("direction") == "association", 1).when(F.col("direction") == "neutral", 2).otherwise(3)
+    group = ["item_type", "variant", "item", "direction"]
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("g2"), F.asc("partner")))
+    return view.select(*group, order.alias("direction_rank"), "partner", "g2", place.alias("place"))
+
+
 def variant_compare(table: DataFrame) -> DataFrame:
     """The same pair in both variants side by side."""
     keys = ["item_type", "item_a", "item_b"]

@@ -56,7 +56,7 @@ def basket_dispersion(spark, d):
 
 
 def line_occurrences(spark, d):
-    return stored(spark, d, "line_occurrences", lambda: ph.phrase_occurrences(line_units(spark, d), line_tokens(spark, d)))
+    return stored(spark, d, "line_occurrences", lambda: ph.phrase_occurrences(line_units(spark, d)))
 
 
 def line_sets(spark, d):

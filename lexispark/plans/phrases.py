@@ -10,7 +10,7 @@ from lexispark.sources.adapters import line_tokens, line_units
 
 
 def occurrences(spark, d):
-    return ph.phrase_occurrences(line_units(spark, d), line_tokens(spark, d))
+    return ph.phrase_occurrences(line_units(spark, d))
 
 
 def _grams(spark, d):

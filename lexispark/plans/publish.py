@@ -155,6 +155,39 @@ def lineage(spark, d):
     return pu.lineage(_records(spark, d)).select("record_id", "parent_id", "parent_statement", "n_children")
 
 
+@query("lineage_children", f"""
+WITH {_RECORDS} SELECT p.record_id, c.record_id AS child_id, c.statement AS child_statement,
+  row_number() OVER (PARTITION BY p.record_id ORDER BY c.record_id) AS place FROM records c JOIN records p ON p.record_id = c.parent_id""")
+def lineage_children(spark, d):
+    return pu.lineage_children(_records(spark, d))
+
+
+def _verdict_rows(spark, d):
+    return table(spark, d, "lineitem", "l_orderkey", "l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus").select(
+        F.col("l_orderkey").alias("record_id"), F.col("l_shipdate").alias("at"),
+        F.struct("l_partkey", "l_suppkey", "l_linenumber").alias("verdict_id"), F.col("l_linestatus").alias("verdict"))
+
+
+@query("verdict_history", """
+SELECT l_orderkey AS record_id, l_linestatus AS verdict, l_partkey, l_suppkey, row_number() OVER (
+  PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC) AS place FROM lineitem""")
+def verdict_history(spark, d):
+    return pu.verdict_history(_verdict_rows(spark, d)).select(
+        "record_id", "verdict", "verdict_id.l_partkey", "verdict_id.l_suppkey", "place")
+
+
+@query("evidence_units", """
+SELECT l_orderkey AS record_id, CASE WHEN l_returnflag = 'R' THEN 'contradicting' ELSE 'supporting' END AS role, l_partkey AS unit_id, p_name AS unit_text
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size < 25 WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""")
+def evidence_units(spark, d):
+    evidence = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_returnflag").select(
+        F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("unit_id"),
+        F.when(F.col("l_returnflag") == "R", "contradicting").otherwise("supporting").alias("role"))
+    units = table(spark, d, "part", "p_partkey", "p_name", "p_size").where("p_size < 25").select(
+        F.col("p_partkey").alias("unit_id"), F.col("p_name").alias("unit_text"))
+    return pu.evidence_with_units(_records(spark, d), evidence, units).select("record_id", "role", "unit_id", "unit_text")
+
+
 @query("latest_verdicts", """
 SELECT l_orderkey AS record_id, arg_max(l_linestatus, (l_shipdate, l_partkey, l_suppkey)) AS verdict, count(*) AS n_verdicts
 FROM lineitem GROUP BY 1""")

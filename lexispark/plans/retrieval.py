@@ -333,6 +333,14 @@ def group_by_direction(spark, d):
     return sv.group_by_direction(_view(spark, d)).withColumn("max_g2", F.round("max_g2", 4))
 
 
+@query("direction_lists", f"""
+WITH {_VIEW} SELECT variant, item_type, item, direction, CASE direction WHEN 'association' THEN 1 WHEN 'neutral' THEN 2 ELSE 3 END AS direction_rank,
+  partner, row_number() OVER (PARTITION BY variant, item_type, item, direction ORDER BY round(g2, 6) DESC, partner) AS place FROM marked""")
+def direction_lists(spark, d):
+    view = _view(spark, d).withColumn("g2", F.round("g2", 6))
+    return sv.direction_lists(view).select("variant", "item_type", "item", "direction", "direction_rank", "partner", "place")
+
+
 @query("variant_compare", f"""
 WITH {bd.BASKET_COLL}, r AS (SELECT * FROM coll WHERE variant = 'raw'), f AS (SELECT * FROM coll WHERE variant <> 'raw')
 SELECT item_type, item_a, item_b, r.n_ab AS n_ab_raw, round(r.expected, 5) AS expected_raw, round(r.g2, 4) AS g2_raw, r.fdr_significant AS sig_raw,

@@ -25,13 +25,20 @@ def search_tokens(spark, d):
 
 
 @query("search_tokens_many", f"""
-WITH {TOKENS}, vocab AS (SELECT norm, min({{'unit_id': unit_id, 'pos': pos}}) AS token_id, count(*) AS occurrences FROM tokens GROUP BY norm),
-q AS (SELECT n_nationkey AS query_id, lower(left(r_name, 2)) AS query_norm FROM nation JOIN region ON r_regionkey = n_regionkey)
-SELECT query_id, norm, token_id.unit_id AS unit_id, token_id.pos AS pos, occurrences, CAST(row_number() OVER (PARTITION BY query_id ORDER BY length(norm), token_id) AS INTEGER) AS rank
-FROM vocab JOIN q ON starts_with(norm, query_norm) QUALIFY rank <= 20""")
+WITH {TOKENS}, counts AS (SELECT norm, count(*) AS occurrences FROM tokens GROUP BY norm),
+vocab AS (SELECT norm, '<' || norm || '>' AS form, reverse(lemma) AS lemma, min({{'unit_id': unit_id, 'pos': pos}}) AS token_id FROM tokens GROUP BY ALL),
+q AS (SELECT n_nationkey AS query_id, lower(right(r_name, 2)) || '>' AS query, lower(left(r_name, 2)) AS query_norm
+  FROM nation JOIN region ON r_regionkey = n_regionkey),
+hits AS (SELECT query_id, norm, min(token_id) AS token_id FROM vocab JOIN q
+  ON contains(form, query) OR contains(lemma, query) OR starts_with(norm, query_norm) GROUP BY ALL)
+SELECT query_id, norm, token_id.unit_id AS unit_id, token_id.pos AS pos, occurrences, CAST(row_number() OVER (
+  PARTITION BY query_id ORDER BY length(norm), token_id) AS INTEGER) AS rank
+FROM hits JOIN counts USING (norm) QUALIFY rank <= 20""")
 def search_tokens_many(spark, d):
     nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    queries = nations.select(F.col("n_nationkey").alias("query_id"), F.lower(F.substring("r_name", 1, 2)).alias("query_norm"))
+    queries = nations.select(
+        F.col("n_nationkey").alias("query_id"), F.concat(F.lower(F.right("r_name", F.lit(2))), F.lit(">")).alias("query"),
+        F.lower(F.substring("r_name", 1, 2)).alias("query_norm"))
     return se.search_tokens_many(form_tokens(spark, d), queries, 20).select(
         "query_id", "norm", "token_id.unit_id", "token_id.pos", "occurrences", "rank")
 
