@@ -27,6 +27,7 @@ def build_session(app: str = "lexispark", master: str | None = None, **conf: str
 
 
 _local_scratch: dict[str, str] = {}
+_settled: dict[str, list[str]] = {}     # folders written by each application
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -53,10 +54,24 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete every table that :func:`settle` has written for this application; returns how many folders there were.
+
+    For the end of a job: results that still read such a table must be stored or fetched before.
+    """
+    paths = _settled.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)
+
+
 def with_global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Add a 1-based rank over a total order without sending all rows to one task.
 

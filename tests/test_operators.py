@@ -368,3 +368,12 @@ def test_a_long_range_is_not_spread_over_missing_units(spark):
     units = spark.createDataFrame([(1, 1), (1, 5), (1, 9000), (3, 1)], "section int, seq int")
     assert sorted((r.ref, r.seq) for r in rt.units_of_refs(refs, units).collect()) == [
         ("1:1-2000000000", 1), ("1:1-2000000000", 5), ("1:1-2000000000", 9000), ("1:5", 5)]
+
+
+def test_release_deletes_what_was_settled(spark, monkeypatch):
+    import os
+    from lexispark import session
+    monkeypatch.setattr(session, "_settled", {})
+    path = session.settle(spark.range(3)).inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    assert session.release(spark) == 1 and not os.path.exists(path) and session.release(spark) == 0
