@@ -46,6 +46,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name in :func:`scratch_dir`, known to :func:`release`."""
+    path = f"{scratch_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -53,14 +60,13 @@ def settle(df: DataFrame) -> DataFrame:
     and is pruned per use because it is columnar.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = scratch_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete every table that :func:`settle` has written for this application; returns how many folders there were.
+    """Delete what this application has written to its scratch folders; returns how many there were.
 
     For the end of a job: results that still read such a table must be stored or fetched before.
     """
