@@ -67,14 +67,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     import public_tokenizers
 
     from lexispark.llm.token_files import read_token_files, write_token_files
-    from lexispark.session import scratch_dir
+    from lexispark.session import scratch_path
 
-    path = f"{scratch_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), 50257, end_id=2)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le32").alias("ids_crc32"))
 
