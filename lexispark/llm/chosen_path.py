@@ -125,6 +125,11 @@ def _quick(trees: int) -> Column:
     return same
 
 
+def _chosen(branch: int) -> Column:
+    """The child on one branch of a node: the smallest of the document's tokens under the node's hash function."""
+    return F.array_min(F.transform("sketch", lambda token: F.xxhash64(token, F.col("node"), F.lit(branch))))
+
+
 def _forest(percent: int):
     """Confirmed links between two blocks of one node, as a spanning forest."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -242,8 +247,7 @@ def near_groups(
         open_ = large.where(~mass)
         if open_.isEmpty():
             break
-        chosen = [F.array_min(F.transform("sketch", lambda x, j=j: F.xxhash64(x, F.col("node"), F.lit(j))))
-                  for j in range(BRANCH)]
+        chosen = [_chosen(j) for j in range(BRANCH)]
         rows = open_.join(sketches, "rep").select(
             F.explode(F.array_distinct(F.array(*chosen))).alias("node"), F.col("size").alias("above"), "rep", "n", "code")
 
