@@ -31,7 +31,8 @@ BRANCH = 2
 SKETCH = 128        # smallest set hashes kept per document, for branching below the root
 SMALL = 24          # a node of at most so many documents is compared in one piece
 DENSE = 0.5         # share of its parent from which a large node counts as one mass
-BLOCK = 256         # documents of a block of such a mass
+BLOCK = 1024        # documents of a block of such a mass, at most
+BLOCK_TOKENS = 1 << 19      # about as many shingles are in a block, whatever the documents' lengths
 DEPTH = 12          # levels after which a large node is compared in blocks, whatever its share
 
 _ROW, _TEXT = "__near_row", "__near_text"
@@ -140,7 +141,10 @@ def _forest(percent: int):
         owner = np.repeat(np.arange(count), sizes)
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
-        column = np.cumsum(np.append(0, tokens[1:] != tokens[:-1]))
+        fresh = np.append(True, tokens[1:] != tokens[:-1])
+        shared_by_some = ~(fresh & np.append(fresh[1:], True))      # what one document has alone is common to none
+        tokens, owner = tokens[shared_by_some], owner[shared_by_some]
+        column = np.cumsum(np.append(0, tokens[1:] != tokens[:-1]))[:len(tokens)]
         shared = np.zeros((count, count), np.float32)
         low = 0
         while low < len(tokens):                       # some thousand distinct tokens at a time
@@ -237,13 +241,14 @@ def near_groups(
     sketches = reps.select("rep", "sketch")
     pieces, masses = [], []
     for depth in range(DEPTH + 1):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("above").alias("above"))
+        sizes = rows.groupBy("node").agg(
+            F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("above").alias("above"))
         placed = settle(rows.drop("above").join(sizes.where("size > 1"), "node"))
         pieces.append(placed.where(F.col("size") <= SMALL).select("node", "rep", "n", "code"))
         large = placed.where(F.col("size") > SMALL)
         mass = (F.col("size") > DENSE * F.col("above")) if depth < DEPTH else F.lit(True)
         mass = F.coalesce(mass, F.lit(False))
-        masses.append(large.where(mass).select("node", "size", "rep", "n"))
+        masses.append(large.where(mass).select("node", "size", "weight", "rep", "n"))
         open_ = large.where(~mass)
         if open_.isEmpty():
             break
@@ -269,7 +274,7 @@ def near_groups(
     sets = settle(texts.mapInArrow(_sets(width), "rep long, tokens array<long>").dropDuplicates(["rep"]))
     links = _confirmed(pairs, sets, percent)
     if not mass.isEmpty():
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_TOKENS)).cast("int")
         dealt = mass.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         dealt = dealt.select("node", "rep", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate"))
         # a block of its own pairs with every other; alone it has no task of its own, unless it is the only one
