@@ -111,13 +111,13 @@ def fingerprint(keys: Column, size: int = SIZE) -> Column:
         F.lit(":"), F.lower(F.hex(x["c"])))), ";"))
 
 
-def next_in_order(keys: DataFrame) -> DataFrame:
-    """(key, next): the next smaller key, after the smallest the largest; null counts as the smallest."""
-    ranked = settle(with_global_rank(keys.select("key").distinct(), [F.col("key").asc_nulls_first()], "rank"))
+def next_in_order(heads: DataFrame) -> DataFrame:
+    """(id, next): the id of the next smaller key, after the smallest the largest; a null key counts as the smallest."""
+    ranked = settle(with_global_rank(heads.select("key", "id"), [F.col("key").asc_nulls_first()], "rank"))
     last = ranked.agg(F.max("rank")).first()[0]
     wanted = F.when(F.col("rank") == 1, F.lit(last)).otherwise(F.col("rank") - 1)
-    return ranked.select("key", wanted.alias("place")).join(
-        ranked.select(F.col("key").alias("next"), F.col("rank").alias("place")), "place").select("key", "next")
+    return ranked.select("id", wanted.alias("place")).join(
+        ranked.select(F.col("id").alias("next"), F.col("rank").alias("place")), "place").select("id", "next")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -128,25 +128,29 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     repeated key stands for its row with the smallest text hash. A single row is its own next document. An empty table
     gives an empty table; other columns are not read.
     """
-    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    heads = settle(own.groupBy("key").agg(
-        F.max(F.length("text")).alias("n"), F.min(F.xxhash64("text")).alias("hash")))
+    # keys are joined in a form that is never null; both joins read the same two columns, so they share one exchange
+    own = docs.select(F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("id"),
+                      F.coalesce(F.col(text), F.lit("")).alias("text"))
+    real_key = F.when(F.col("id") != "", F.substr(F.col("id"), F.lit(2)).cast(docs.schema[key].dataType))
+    heads = settle(own.groupBy("id").agg(
+        F.max(F.length("text")).alias("n"), F.min(F.xxhash64("text")).alias("hash")).withColumn("key", real_key))
     if heads.isEmpty():
-        order = heads.select("key", F.col("key").alias("next"))
+        order = heads.select("id", F.col("id").alias("next"))
     else:
         order = next_in_order(heads)
-    asked = heads.join(order, heads["key"].eqNullSafe(order["key"])).select(
-        heads["key"].alias("asker"), "next", F.floor(heads["n"] / 2).cast("int").alias("half"))
-    asked = asked.join(heads.select(F.col("key").alias("k"), F.col("hash").alias("h")), F.col("next").eqNullSafe(F.col("k"))) \
-        .select("asker", "next", "half", "h")
-    sent = own.join(asked.hint("merge"), own["key"].eqNullSafe(asked["next"])).where(F.xxhash64("text") == F.col("h")).select(
+    half = F.floor(F.col("n") / 2).cast("int")
+    asked = heads.select("id", half.alias("half")).join(order, "id").join(
+        heads.select(F.col("id").alias("next"), "hash"), "next").select(F.col("id").alias("asker"), "next", "half", "hash")
+    # written so that it stays a filter and no join key: the exchange is then that of the second join
+    shown = F.xxhash64("text").bitwiseXOR(F.col("hash")) == 0
+    sent = own.join(asked.hint("merge"), own["id"] == asked["next"]).where(shown).select(
         "asker", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"), digests(F.col("text")).alias("next_keys"))
     received = sent.groupBy("asker").agg(F.first("start").alias("start"), F.first("next_keys").alias("next_keys"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("start"), F.lit(1), half))
-    both = own.join(received.hint("merge"), own["key"].eqNullSafe(received["asker"])).select(
-        "key", n.cast("long").alias("n_chars"), digests(F.col("text")).alias("keys"),
+    both = own.join(received.hint("merge"), own["id"] == received["asker"]).select(
+        real_key.alias("key"), n.cast("long").alias("n_chars"), digests(F.col("text")).alias("keys"),
         edited.alias("edited"), "next_keys").withColumn("edited_keys", digests(F.col("edited")))
     parts = both.select("key", "n_chars", "keys", F.sha2("edited", 256).alias("edited_sha256"), "edited_keys", "next_keys")
     return parts.select(
