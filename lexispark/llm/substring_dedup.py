@@ -83,20 +83,20 @@ def repeated_starts(
     """Runs ``(row, low, high)`` of word positions at which a window starts that also starts elsewhere."""
     source = _keyed(docs, text, key).select(_ROW, _TEXT)
     # two equal rows of one table are two places, so repeated rows are kept here
-    shared = (
+    # (key lists are stored before they are joined, so that adaptive execution can split a hot key of the other side)
+    shared = settle(
         source.mapInArrow(_anchor_hashes(length, gram), "h long")
-        .groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    )
+        .groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     seeds = settle(
         source.mapInArrow(_anchors(length, gram), "row long, first long, h long, windows array<int>").join(shared, "h"))
     contexts = settle(seeds.groupBy("h", "windows").agg(
         F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min("first").alias("first")))
     whole = seeds.join(contexts.where("n > 1").select("h", "windows"), ["h", "windows"], "left_semi").select(
         "row", F.col("first").alias("low"), (F.col("first") + F.size("windows") - 1).alias("high"))
-    unlike = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    unlike = settle(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"))
     each = contexts.join(unlike, "h").select(
         "h", "row", "first", "n", F.posexplode("windows").alias("pos", "w"))
-    again = each.groupBy("h", "w").agg(F.sum("n").alias("total")).where("total > 1").select("h", "w")
+    again = settle(each.groupBy("h", "w").agg(F.sum("n").alias("total")).where("total > 1").select("h", "w"))
     # contexts met more than once are in `whole` already, with all their occurrences
     single = each.where("n = 1").join(again, ["h", "w"], "left_semi").select(
         "row", (F.col("first") + F.col("pos")).alias("low"), (F.col("first") + F.col("pos")).alias("high"))
