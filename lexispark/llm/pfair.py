@@ -59,7 +59,7 @@ def frame_pattern(weights: DataFrame, frame: int = FRAME) -> DataFrame:
             F.transform(state["done"], lambda d, i: F.when(i == pick, d + 1).otherwise(d)).alias("done"),
             F.concat(state["order"], F.array(pick)).alias("order"))
 
-    run = tasks.select("tasks", F.aggregate(F.sequence(F.lit(0), F.lit(frame - 1)), start, decide)["order"].alias("order"))
+    run = tasks.where(F.size("tasks") > 0).select("tasks", F.aggregate(F.sequence(F.lit(0), F.lit(frame - 1)), start, decide)["order"].alias("order"))
     slots = run.select("tasks", F.posexplode("order").alias("slot", "i")).select(
         F.col("tasks")[F.col("i")]["source"].alias("source"), "slot", "i")
     by_source = slots.groupBy("i", "source").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
