@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_CHARS = 1 << 20     # characters handled together; a longer text is a chunk of its own
+CHUNK_CHARS = 1 << 19     # characters handled together; a longer text is a chunk of its own
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[bool, np.ndarray] = {}
@@ -187,55 +188,93 @@ def gather(flat: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> np.nda
     return flat[np.repeat(offsets - before, lengths) + np.arange(int(lengths.sum()))]
 
 
+class HashSlots:
+    """A growing map from 64-bit hashes to consecutive numbers, for whole arrays at once (open addressing)."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.slot = np.full(1 << bits, -1, np.int32)
+        self.count = 0
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if it has none."""
+        at = self._place(keys)
+        found = self.slot[at]
+        rest = np.flatnonzero((found >= 0) & (self.keys[at] != keys))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
+            found[rest] = self.slot[at[rest]]
+            rest = rest[(found[rest] >= 0) & (self.keys[at[rest]] != keys[rest])]
+        return found
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number new, distinct keys in the order given."""
+        numbers = np.arange(self.count, self.count + len(keys), dtype=np.int32)
+        self.count += len(keys)
+        at = self._place(keys)
+        rest = np.arange(len(keys))
+        while len(rest):
+            free = rest[self.slot[at[rest]] < 0]
+            _, one = np.unique(at[free], return_index=True)     # one key per free place
+            placed = free[one]
+            self.keys[at[placed]], self.slot[at[placed]] = keys[placed], numbers[placed]
+            rest = np.setdiff1d(rest, placed, assume_unique=True)
+            at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
+
+
 class PieceEncoder:
     """Encodes texts by their distinct pre-tokens; ids of pre-tokens seen before are remembered, up to ``limit`` of them.
 
     ``encode`` gets a list of new pre-tokens and returns the ids of each.
     """
 
-    def __init__(self, encode, limit: int = 800_000) -> None:
+    def __init__(self, encode, limit: int = 1_000_000) -> None:
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots = HashSlots((2 * self.limit).bit_length())
         self.flat = np.zeros(1 << 20, np.uint32)
         self.used = 0
-        self.offsets = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int64)
+        self.offsets = np.zeros(1 << 16, np.int32)
+        self.lengths = np.zeros(1 << 16, np.int32)
 
-    def _remember(self, keys: list[int], pieces: list[str]) -> None:
+    def _remember(self, keys: np.ndarray, pieces: list[str]) -> None:
         found = self.encode(pieces)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total, at = int(lengths.sum()), len(self.slots)
+        total, at = int(lengths.sum()), self.slots.count
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while at + len(keys) > len(self.offsets):
             self.offsets = np.concatenate((self.offsets, np.zeros_like(self.offsets)))
             self.lengths = np.concatenate((self.lengths, np.zeros_like(self.lengths)))
-        self.flat[self.used:self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.lengths[at:at + len(keys)] = lengths
         self.offsets[at:at + len(keys)] = self.used + np.cumsum(lengths) - lengths
         self.used += total
-        self.slots.update(zip(keys, range(at, at + len(keys))))
+        self.slots.add(keys)
 
     def __call__(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and the number of ids before each text (one more at the end)."""
         joined = Joined(texts)
         starts, ends, first = pre_token_spans(joined)
-        keys, example, inverse = np.unique(
-            span_hashes(joined.codes, starts, ends), return_index=True, return_inverse=True)
-        if len(self.slots) + len(keys) > self.limit:
-            self.clear()
-        listed, get = keys.tolist(), self.slots.get
-        slots = [get(k) for k in listed]
-        new = [i for i, s in enumerate(slots) if s is None]
-        if new:
-            text, low, high = joined.text, starts[example].tolist(), ends[example].tolist()
-            self._remember([listed[i] for i in new], [text[low[i]:high[i]] for i in new])
-            slots = [get(k) for k in listed]
-        slot = np.array(slots, np.int64)[inverse] if len(listed) else np.zeros(0, np.int64)
-        lengths = self.lengths[slot]
-        ids = gather(self.flat, self.offsets[slot], lengths)
+        hashes = span_hashes(joined.codes, starts, ends)
+        slot = self.slots.find(hashes)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            keys, example = np.unique(hashes[missing], return_index=True)
+            if self.slots.count + len(keys) > self.limit and self.slots.count:
+                self.clear()
+                return self(texts)
+            example = missing[example]
+            text = joined.text
+            self._remember(keys, [text[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist())])
+            slot[missing] = self.slots.find(hashes[missing])
+        lengths = self.lengths[slot].astype(np.int64)
+        ids = gather(self.flat, self.offsets[slot].astype(np.int64), lengths)
         before = np.concatenate(([0], np.cumsum(lengths)))
         return ids, before[first]
