@@ -34,6 +34,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from lexispark.llm.textkit import PieceEncoder, text_chunks
 
 BLOCK = 1 << 16         # ids of a block; a multiple of 8, so that blocks end on bytes
+ROWS_AT_ONCE = 500      # rows of an Arrow batch on the way to a file
 MAGIC = b"TOKIDS01"
 MANIFEST = "_manifest.json"
 
@@ -257,8 +258,15 @@ def write_token_files(
         docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     )
-    encode_texts(ordered, tokenizer, end_id).write.format("token_files").option(
-        "bits", bits_for(vocabulary)).mode("append").save(path)
+    # texts and ids meet in three processes of a task, so few rows travel at a time while this is written
+    rows_at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_at_once)
+    spark.conf.set(rows_at_once, str(min(int(before), ROWS_AT_ONCE) if int(before) > 0 else ROWS_AT_ONCE))
+    try:
+        encode_texts(ordered, tokenizer, end_id).write.format("token_files").option(
+            "bits", bits_for(vocabulary)).mode("append").save(path)
+    finally:
+        spark.conf.set(rows_at_once, before)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
