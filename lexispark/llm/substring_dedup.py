@@ -7,7 +7,7 @@ Extension: a surviving anchor carries the windows around it that elected it, i.e
 directions up to ``length`` words. All occurrences of one anchor are extended against each other at once, first by
 their whole surroundings (copies fall together before any shuffle of pairs), then, where surroundings differ, window by
 window. No pair of occurrences is ever formed, so a passage in a third of all documents costs what its own words cost.
-Overlapping repeated windows are merged into maximal repeated spans per document.
+Windows are equal if anchor and window agree in 64 bits each. Overlapping repeated windows are merged into maximal repeated spans per document.
 """
 
 from __future__ import annotations
@@ -64,8 +64,7 @@ def _anchors(length: int, gram: int):
             new = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
             text = text_of[windows[new]]
             rows = batch.column(0).to_numpy()[text]
-            short = (whole >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(windows)).astype(np.int32)), pa.array(short))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(windows)).astype(np.int32)), pa.array(whole.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows), pa.array((windows[new] - first[text]).astype(np.int64)),
                  pa.array(hashes[new].view(np.int64)), lists], ["row", "first", "h", "windows"])
@@ -88,7 +87,7 @@ def repeated_starts(
         source.mapInArrow(_anchor_hashes(length, gram), "h long")
         .groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     seeds = settle(
-        source.mapInArrow(_anchors(length, gram), "row long, first long, h long, windows array<int>").join(shared, "h"))
+        source.mapInArrow(_anchors(length, gram), "row long, first long, h long, windows array<long>").join(shared, "h"))
     contexts = settle(seeds.groupBy("h", "windows").agg(
         F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min("first").alias("first")))
     whole = seeds.join(contexts.where("n > 1").select("h", "windows"), ["h", "windows"], "left_semi").select(
