@@ -73,7 +73,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.session import scratch_path
 
     path = scratch_path(spark)
-    write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), 50257, end_id=2)
+    write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), 50257, end_id=2,
+                      added_tokens=True)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le32").alias("ids_crc32"))
 
 

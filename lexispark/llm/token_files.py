@@ -21,7 +21,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -225,14 +225,47 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+@lru_cache(maxsize=2)
+def _whole_encoder(path: str):
+    """The library as it comes, and a pattern of the file's added tokens (None if it has none)."""
+    import re
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    contents = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    # the case is ignored, so that a token met only after normalisation is not missed for its capitals
+    return tokenizer, re.compile("|".join(map(re.escape, contents)), re.IGNORECASE) if contents else None
+
+
+def _encode_with_added(path: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and bounds as of :class:`PieceEncoder`; texts that hold an added token are encoded whole by the library."""
+    pieces, (tokenizer, added) = _encoder(path), _whole_encoder(path)
+    held = [i for i, t in enumerate(texts) if t and added.search(t)] if added else []
+    if not held:
+        return pieces(texts)
+    rest = list(texts)
+    for i in held:
+        rest[i] = None
+    ids, bounds = pieces(rest)
+    found = [np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32) for i in held]
+    lengths = np.diff(bounds)
+    lengths[held] = [len(f) for f in found]
+    ids = np.insert(ids, np.repeat(bounds[held], lengths[held]), np.concatenate(found))
+    return ids, np.concatenate(([0], np.cumsum(lengths)))
+
+
+def encode_texts(
+    docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id", added_tokens: bool = False
+) -> DataFrame:
     """(doc_id, ids) of each row: the ids of the whole text by a byte-level tokenizer file, then ``end_id``.
 
     Byte-level vocabularies encode each pre-token on its own, so the library is asked once per distinct pre-token of a
-    task. A null text counts as empty.
+    task. With ``added_tokens`` the file's added tokens, such as ``<|endoftext|>``, get their own ids wherever a text
+    holds them, as by the library's default; without, they are text like any other. A null text counts as empty.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = partial(_encode_with_added, tokenizer) if added_tokens else _encoder(tokenizer)
         for batch in text_chunks(batches, "text", 1 << 19):
             ids, bounds = encoder(batch.column(1).to_pylist())
             ids = np.insert(ids, bounds[1:], end_id)
@@ -245,12 +278,13 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int, text: str = "text", key: str = "doc_id",
+    added_tokens: bool = False
 ) -> None:
     """Write all texts in ascending key order (null keys first, equal keys by text), one shard per range of keys.
 
     ``path`` is a folder that driver and executors share; files there that no manifest names are never read. An empty
-    table gives an empty data set; other columns are not read.
+    table gives an empty data set; other columns are not read. ``added_tokens`` is that of :func:`encode_texts`.
     """
     spark = docs.sparkSession
     spark.dataSource.register(TokenFiles)
@@ -263,7 +297,7 @@ def write_token_files(
     before = spark.conf.get(rows_at_once)
     spark.conf.set(rows_at_once, str(min(int(before), ROWS_AT_ONCE) if int(before) > 0 else ROWS_AT_ONCE))
     try:
-        encode_texts(ordered, tokenizer, end_id).write.format("token_files").option(
+        encode_texts(ordered, tokenizer, end_id, added_tokens=added_tokens).write.format("token_files").option(
             "bits", bits_for(vocabulary)).mode("append").save(path)
     finally:
         spark.conf.set(rows_at_once, before)
