@@ -102,6 +102,30 @@ def with_global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataF
     )
 
 
+def with_place(df: DataFrame, name: str) -> DataFrame:
+    """Add the 1-based place of each row in the order in which ``df`` was written or, if it is no stored table, stands.
+
+    Readers deal out files by size, so the order of a table just read is that of the shard numbers in the file names,
+    then of the rows in a file. Only one row per file or partition meets in one task.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        stored = F.col("_metadata.file_name")
+        shard = F.regexp_extract(stored, r"^part-(\d+)", 1).try_cast("long")
+        piece = F.regexp_extract(stored, r"-c(\d+)\.", 1).try_cast("long")     # a task may write several files
+        placed = df.select("*", F.struct(shard, piece, stored).alias("_part"), F.col("_metadata.row_index").alias("_place"))
+    else:
+        in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        placed = settle(df.withColumn("_part", F.spark_partition_id()).withColumn("_place", in_partition))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    return (
+        placed.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_before") + F.col("_place") + 1)
+        .drop("_part", "_place", "_before")
+    )
+
+
 def with_global_sum(df: DataFrame, order: Sequence[Column], value: str, name: str) -> DataFrame:
     """Add the sum of ``value`` over all rows before a row in a total order, without sorting all rows in one task.
 
