@@ -210,7 +210,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80, trees: int = TREES
+    docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80, trees: int = TREES,
+    one_each: bool = False
 ) -> DataFrame:
     """All rows and columns of ``docs`` with n_shingles, component_id and kept.
 
@@ -218,7 +219,8 @@ def near_groups(
     ``width``-word shingles have a Jaccard similarity of at least ``percent`` / 100. component_id is the smallest key
     reachable over links, the own key included; kept marks the row whose key that is. A null or empty text has no
     shingles and stays alone. A null key forms no part of a component_id unless nothing else is in the group; equal
-    rows are all kept or all dropped. An empty table gives an empty table; columns with these names are replaced.
+    rows are all kept or all dropped. With ``one_each``, kept marks one (key, text) per group even if keys are null or
+    shared: the smallest by key, nulls last, then by hash of key and text. An empty table gives an empty table; columns with these names are replaced.
     """
     added = ("n_shingles", "component_id", "kept")
     base = docs.select(*[c for c in docs.columns if c not in added or c in (text, key)])
@@ -291,7 +293,8 @@ def near_groups(
     out = settle(keyed.select(_ROW, F.col(key).alias("__key")).join(
         labelled.withColumnRenamed("row", _ROW), _ROW))
     # stored before the join, so that a hot group of the other side can be split
-    least = settle(out.groupBy("__group").agg(F.min("__key").alias("component_id")))
-    final = out.join(least, "__group").select(
-        F.col(_ROW), "n_shingles", "component_id", F.col("__key").eqNullSafe(F.col("component_id")).alias("kept"))
+    firsts = [F.min(F.struct(F.col("__key").isNull(), F.col("__key"), F.col(_ROW)))[_ROW].alias("__first")] * one_each
+    least = settle(out.groupBy("__group").agg(F.min("__key").alias("component_id"), *firsts))
+    kept = F.col(_ROW) == F.col("__first") if one_each else F.col("__key").eqNullSafe(F.col("component_id"))
+    final = out.join(least, "__group").select(F.col(_ROW), "n_shingles", "component_id", kept.alias("kept"))
     return keyed.join(final.dropDuplicates([_ROW]), _ROW).drop(_ROW)
