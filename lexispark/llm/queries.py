@@ -199,3 +199,113 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("d.edited.near").alias("near_edited"), F.col("d.next.near").alias("near_next"),
         F.size("d.edited.gone").alias("n_gone"), F.size("d.edited.come").alias("n_come"),
         F.col("d.edited.size").alias("cells_edited"), F.col("d.next.size").alias("cells_next"))
+
+
+@query
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.decontaminate import contamination
+
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+SQL["op11_decontaminate"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[i : i + 9], ' ') AS win
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM i WHERE len(words) > 0)),
+s AS (
+  SELECT doc_id, size, p, array_to_string(words[p : p + size - 1], ' ') AS win
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS p
+        FROM w, (SELECT DISTINCT size FROM win) WHERE len(words) >= size)),
+hit AS (SELECT doc_id, p, s.size, item_id FROM s JOIN win USING (size, win)),
+n AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS place FROM hit) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.hard_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, label=moved)
+
+
+SQL["op12_hard_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (
+  SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM v),
+k AS (SELECT vec_id, label, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM c),
+s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM k a JOIN k b USING (i) WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (
+  SELECT p.a, p.b AS p, p.score AS ps, s.b AS n, s.score AS ns,
+    CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, p AS positive_id, rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.filter_audit import document_masks, interaction_audit
+
+    masks = document_masks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return interaction_audit(masks, "ABCDE")
+
+
+SQL["op13_filter_audit"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM t LEFT JOIN l USING (doc_id)),
+c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+cells AS (
+  SELECT part, filter_order, step, filter_order[step] AS filter, filter_order[1 : step - 1] AS before
+  FROM (SELECT DISTINCT part FROM t), orders, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT cells.part, filter_order, step, filter,
+    coalesce(sum(n) FILTER (contains(fails, filter) AND translate(fails, before, '') = fails), 0) AS removed,
+    coalesce(sum(good) FILTER (contains(fails, filter) AND translate(fails, before, '') = fails), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (contains(fails, filter) AND translate(fails, before, '') = fails), 0) AS toxic_lost,
+    coalesce(sum(n) FILTER (contains(fails, filter) AND translate(fails, before, '') <> fails), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails = filter), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (translate(fails, before || filter, '') = fails), 0) AS kept
+  FROM cells JOIN c ON c.part = cells.part GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
+"""
