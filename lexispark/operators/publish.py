@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.session import with_global_rank, with_global_sum
 
-def verify(observed: DataFrame, expectations: DataFrame) -> DataFrame:
+
+def verify(observed: DataFrame, expectations: DataFrame, by: Sequence[str] = ("build", "name")) -> DataFrame:
     """PASS/FAIL per named assertion.
 
     ``observed``: build, name, value. ``expectations``: build, name, rule
-    (equals, is_null, differs), expected, tolerance. A missing observation fails.
+    (equals, is_null, differs), expected, tolerance. A missing observation fails, whatever the rule. ``by`` names the
+    columns that address a value, build first.
     """
-    rows = expectations.join(observed, ["build", "name"], "left")
+    rows = expectations.join(observed.withColumn("_seen", F.lit(True)), list(by), "left")
     value, want = F.col("value"), F.col("expected")
     met = (
         F.when(F.col("rule") == "is_null", value.isNull())
         .when(F.col("rule") == "differs", value != want)
         .otherwise(F.abs(value - want) < F.col("tolerance"))
     )
-    return rows.withColumn("status", F.when(F.coalesce(met, F.lit(False)), "PASS").otherwise("FAIL"))
+    good = F.col("_seen").isNotNull() & F.coalesce(met, F.lit(False))
+    return rows.withColumn("status", F.when(good, "PASS").otherwise("FAIL")).drop("_seen")
+
+
+def observed_values(table: DataFrame, keys: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """The values of a built table at the addresses in ``wanted``: the keys, column, value as a double.
+
+    ``wanted`` has the keys and the name of a column. The table is cut down to the wanted keys before its columns become
+    rows, and only columns that any address names become rows at all.
+    """
+    held = wanted.select(*keys, "column").distinct()
+    names = [r.column for r in held.select("column").distinct().collect() if r.column in table.columns]     # columns of one table
+    if not names:
+        return held.where(F.lit(False)).withColumn("value", F.lit(None).cast("double"))
+    rows = table.join(held.select(*keys).distinct(), list(keys), "left_semi").select(
+        *keys, *[F.col(c).cast("double").alias(c) for c in sorted(names)])
+    return rows.unpivot(list(keys), sorted(names), "column", "value").join(held, [*keys, "column"], "left_semi")
 
 
 def verification_summary(checked: DataFrame) -> DataFrame:
@@ -66,6 +85,35 @@ def promote_build(builds: DataFrame, decisions: DataFrame) -> DataFrame:
         "is_current", F.coalesce("_won", F.lit(False))).drop("_won")
 
 
+def promotion_history(decisions: DataFrame) -> DataFrame:
+    """(seq, request_id, build, reason, valid_from, valid_to) of every accepted promotion, in the order of their times.
+
+    A promotion is in force until the next one, of whatever build; the last one has no end. A request that the log holds
+    twice counts once, so replaying a log changes nothing. The order is a range sort; each row then meets its successor
+    by number, so no task sees the whole history.
+    """
+    asked = decisions.where("accepted").groupBy("request_id").agg(F.min(F.struct("at", "build", "reason")).alias("_r")).select(
+        "request_id", "_r.*")
+    ranked = with_global_rank(asked, [F.col("at"), F.col("request_id")], "seq")
+    after = ranked.select((F.col("seq") - 1).alias("seq"), F.col("at").alias("valid_to"))
+    return ranked.join(after, "seq", "left").select(
+        "seq", "request_id", "build", "reason", F.col("at").alias("valid_from"), "valid_to")
+
+
+def build_at(history: DataFrame, moments: DataFrame) -> DataFrame:
+    """``moments`` (moment) with the build that was in force then, null before the first promotion.
+
+    The promotion in force is the last one that is not later: a union of both, range sorted by time, in which the number of
+    promotions up to a row is the number of the promotion asked for.
+    """
+    both = history.select(F.col("valid_from").alias("t"), F.lit(0).alias("kind"), F.col("seq").alias("seq"), F.lit(None).cast(
+        moments.schema["moment"].dataType).alias("moment")).unionByName(
+        moments.select(F.col("moment").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"), "moment"))
+    counted = with_global_sum(both.withColumn("one", 1 - F.col("kind")), [F.col("t"), F.col("kind"), F.col("seq")], "one", "before")
+    asked = counted.where("kind = 1").select("moment", F.col("before").alias("seq"))
+    return asked.join(history.select("seq", "build"), "seq", "left").select("moment", "build")
+
+
 def promote_subject(versions: DataFrame, log: DataFrame) -> DataFrame:
     """Versions (version, subject_type, subject_id, subject_ref) after a promotion log (version, at, reason).
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexispark.operators import publish as pu
+from lexispark.params import RAW
+from lexispark.plans import builds as bd
+from lexispark.plans.pairs import dispersion_sql
 from lexispark.plans.registry import query
-from lexispark.sources.adapters import table
+from lexispark.sources.adapters import basket_tokens, table
 
 # ---- verification -------------------------------------------------------------------------------
 
@@ -45,6 +48,76 @@ def verification_summary(spark, d):
     return pu.verification_summary(_checked(spark, d))
 
 
+_PAIR = ["variant", "item_type", "item_a", "item_b"]
+
+
+def _brand_margins(spark, d):
+    """Orders with a brand, and orders at all, counted from the raw tables and not by the build."""
+    sold = basket_tokens(spark, d).select("unit_id", F.col("brand").alias("item")).distinct()
+    total = sold.select("unit_id").distinct().agg(F.count(F.lit(1)).alias("n_total"))       # one row
+    return sold.groupBy("item").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total))
+
+
+def _equals(rows, *columns):
+    """Expectations of several columns of one address: (column, expected, tolerance)."""
+    number = lambda v: v.cast("double") if hasattr(v, "cast") else F.lit(v).cast("double")
+    return F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit("equals").alias("rule"), number(want).alias("expected"), number(tol).alias("tolerance"))
+        for c, want, tol in columns]))
+
+
+@query("verify_built_pairs", f"""
+WITH {bd.BASKET_COLL}, sold AS (SELECT DISTINCT unit_id, brand AS item FROM tokens),
+m AS (SELECT item, count(*) AS n, (SELECT count(DISTINCT unit_id) FROM sold) AS total FROM sold GROUP BY item),
+facts AS (SELECT c.item_a, c.item_b, unnest(['n_a', 'n_b', 'n_total', 'expected', 'p', 'pmi']) AS "column",
+    unnest([c.n_a, c.n_b, c.n_total, c.expected, c.p, c.pmi]) AS value,
+    unnest([a.n, b.n, a.total, a.n * b.n / a.total, 0.5, 100.0]) AS want, unnest([0.5, 0.5, 0.5, 0.001, 0.5000001, 1.0]) AS tol
+  FROM coll c JOIN m a ON a.item = c.item_a JOIN m b ON b.item = c.item_b WHERE c.variant = 'raw' AND c.item_type = 'brand')
+SELECT 'raw' AS variant, item_a, item_b, "column", 'equals' AS rule,
+  CASE WHEN coalesce(abs(value - want) < tol, false) THEN 'PASS' ELSE 'FAIL' END AS status FROM facts
+UNION ALL
+SELECT v.variant, f.item_a, f.item_b, x.c, 'is_null', CASE WHEN c.variant IS NOT NULL AND
+    CASE x.c WHEN 'pmi' THEN c.pmi IS NULL ELSE c.p IS NULL END THEN 'PASS' ELSE 'FAIL' END
+FROM (SELECT DISTINCT item_type, item_a, item_b FROM forced) f, (SELECT unnest(['raw', 'phrase_reduced']) AS variant) v, (SELECT unnest(['pmi', 'p']) AS c) x
+LEFT JOIN coll c ON c.variant = v.variant AND c.item_type = f.item_type AND c.item_a = f.item_a AND c.item_b = f.item_b""")
+def verify_built_pairs(spark, d):
+    """Named assertions on the built pair table: margins and expected counts against counts of the raw tables for every
+    pair of brands, the pre-registered pairs that never occur without PMI and p, and one rule that must fail."""
+    built = bd.basket_table(spark, d).withColumn("build", F.lit(1))
+    margins = _brand_margins(spark, d)
+    pairs = built.where((F.col("variant") == RAW) & (F.col("item_type") == "brand")).select(*_PAIR)
+    a = margins.select(F.col("item").alias("item_a"), F.col("n").alias("a"), "n_total")
+    b = margins.select(F.col("item").alias("item_b"), F.col("n").alias("b"))
+    facts = pairs.join(a, "item_a").join(b, "item_b")
+    equal = facts.select(*_PAIR, _equals(
+        facts, ("n_a", F.col("a"), 0.5), ("n_b", F.col("b"), 0.5), ("n_total", F.col("n_total"), 0.5),
+        ("expected", F.col("a") * F.col("b") / F.col("n_total"), 0.001), ("p", 0.5, 0.5000001), ("pmi", 100.0, 1.0)))
+    listed = bd.co.canonical_pairs(bd.FORCED, spark)
+    nulls = listed.select("item_type", "item_a", "item_b", F.explode(F.array(F.lit(RAW), F.lit("phrase_reduced"))).alias("variant")).select(
+        *_PAIR, F.explode(F.array(F.lit("pmi"), F.lit("p"))).alias("column"), F.lit("is_null").alias("rule"),
+        F.lit(None).cast("double").alias("expected"), F.lit(None).cast("double").alias("tolerance"))
+    wanted = equal.unionByName(nulls).withColumn("build", F.lit(1))
+    keys = ["build", *_PAIR]
+    return pu.verify(pu.observed_values(built, keys, wanted), wanted, [*keys, "column"]).select(
+        "variant", "item_a", "item_b", "column", "rule", "status")
+
+
+@query("verify_built_dispersion", f"""
+WITH {dispersion_sql(bd.BASKET_SETS2)}, sold AS (SELECT brand AS item, count(DISTINCT unit_id) AS n FROM tokens GROUP BY brand)
+SELECT s.item, x.c AS "column", CASE WHEN coalesce(CASE x.c WHEN 'n_units' THEN abs(d.n_units - s.n) < 0.5 WHEN 'dp' THEN abs(d.dp - 0.5) < 0.5000001
+  ELSE abs(d.juilland_d - 0.5) < 0.5000001 END, false) THEN 'PASS' ELSE 'FAIL' END AS status
+FROM sold s CROSS JOIN (SELECT unnest(['n_units', 'dp', 'juilland_d']) AS c) x
+LEFT JOIN disp d ON d.variant = 'raw' AND d.item_type = 'brand' AND d.item = s.item""")
+def verify_built_dispersion(spark, d):
+    """The dispersion table of all brands: units against the raw tables, both measures within zero and one."""
+    margins = _brand_margins(spark, d)
+    wanted = margins.select(F.lit(1).alias("build"), F.lit(RAW).alias("variant"), F.lit("brand").alias("item_type"), "item", _equals(
+        margins, ("n_units", F.col("n"), 0.5), ("dp", 0.5, 0.5000001), ("juilland_d", 0.5, 0.5000001)))
+    keys = ["build", "variant", "item_type", "item"]
+    built = bd.basket_dispersion(spark, d).withColumn("build", F.lit(1))
+    return pu.verify(pu.observed_values(built, keys, wanted), wanted, [*keys, "column"]).select("item", "column", "status")
+
+
 # ---- publication --------------------------------------------------------------------------------
 
 
@@ -88,6 +161,34 @@ def promote_build(spark, d):
     return _promoted(spark, d).select("build", "promoted_at", "is_current")
 
 
+_HISTORY = f"""{_DECISIONS},
+history AS (SELECT row_number() OVER w AS seq, request_id, build, CASE WHEN o_orderstatus = 'F' THEN 'checked by hand' END AS reason,
+    asked_at AS valid_from, lead(asked_at) OVER w AS valid_to
+  FROM decisions JOIN orders ON o_orderkey = request_id WHERE refused IS NULL WINDOW w AS (ORDER BY asked_at, request_id))"""
+
+
+def _history(spark, d, times=1):
+    log = _requests(spark, d)
+    for _ in range(times - 1):
+        log = log.unionByName(_requests(spark, d))
+    return pu.promotion_history(pu.build_decisions(log, pu.verification_summary(_checked(spark, d))))
+
+
+@query("promotion_history", f"WITH {_HISTORY} SELECT seq, request_id, build, reason, valid_from, valid_to FROM history")
+def promotion_history(spark, d):
+    """The log is replayed: every request stands in it twice."""
+    return _history(spark, d, times=2)
+
+
+@query("build_at", f"""
+WITH {_HISTORY} SELECT event_id, ts AS moment, build FROM events ASOF LEFT JOIN history ON ts >= valid_from""")
+def build_at(spark, d):
+    """The build in force when each event happened."""
+    events = table(spark, d, "events", "event_id", "ts").withColumnRenamed("ts", "moment")
+    found = pu.build_at(_history(spark, d), events.select("moment").distinct())
+    return events.join(found, "moment").select("event_id", "moment", "build")
+
+
 @query("current_version", f"""
 WITH {_PROMOTED} SELECT c_custkey, c_mktsegment AS build FROM customer JOIN promoted ON build = c_mktsegment WHERE is_current""")
 def current_version(spark, d):

@@ -1,6 +1,7 @@
 """Hand fixtures for phrases, masking, pairing, spans, references, audits and curation."""
 
 import itertools
+import json
 import random
 
 import pytest
@@ -351,6 +352,69 @@ def test_hostile_payloads_end_no_job(spark):
                    10: ([4], 0), 11: ([], 0)}
 
 
+def test_citations_without_python(spark):
+    """The level-wise walk gives what the walk in Python gives; it refuses more only where Spark's parser does."""
+    rng = random.Random(5)
+
+    def node(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.35:
+            return rng.choice([1, -7, "2", " 31 ", "x", "1e3", 2.75, True, None, 2**63, "9" * 40, "-9223372036854775808", ".5", {}, []])
+        if kind < 0.65:
+            return [node(depth - 1) for _ in range(rng.randint(0, 4))]
+        return {rng.choice(["unit_id", "cited_UNIT_IDS", "unit_ids", "a", "my_unit_id", "unit_idx", "b"]): node(depth - 1)
+                for _ in range(rng.randint(0, 4))}
+
+    payloads = [json.dumps(node(6)) for _ in range(300)] + [
+        '{"unit_id": 1e999}', '{"unit_id": NaN}', '{"unit_id": 12345678901234567890}', '{"unit_id": ', None, '{"unit\\u005fid": 5}',
+        '{"unit_ids": {"unit_ids": [1, 2], "k": 4}}', '"unit_id"', '{"a": 1, "unit_id": ' + "[" * 100_000 + "]" * 100_000 + "}",
+        '{"unit_id": ' + "[" * 30 + "3" + "]" * 30 + ', "deep": ' + '{"a":' * 30 + '{"unit_id": 6}' + "}" * 30 + "}"]
+    df = spark.createDataFrame(list(enumerate(payloads)) + [(1000, payloads[0]), (1000, payloads[1])], "output_id int, payload string")
+    want = {}
+    for r in df.select("output_id", au.scan_citations(F.col("payload")).alias("s")).collect():
+        ids, rejected = want.get(r.output_id, ([], 0))
+        want[r.output_id] = (sorted(ids + r.s.ids), rejected + len(r.s.rejected))
+    got = au.cited_rows(df)
+    assert {r.output_id: (sorted(r.ids), len(r.rejected)) for r in got.collect()} == want
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strings_of_payloads(spark):
+    payloads = ['{"z": "first", "a": ["se\\"cond", {"k": "\\u00e9\\n"}], "m": {"z": "", "b": 5}}', '"alone"', "[]", "{broken", None,
+                '["' + "x\\\\y" * 50_000 + '"]', '{"a:" : "b", "c": ":"}', '["a", 1, true, null, "b"]']
+    df = spark.createDataFrame(list(enumerate(payloads)), "i int, payload string").select(
+        "i", au.flatten_strings(F.col("payload")).alias("flat"))
+    want = {i: " ".join(au.strings_in(au._load(p)[0])) for i, p in enumerate(payloads)}
+    assert {r.i: r.flat for r in df.collect()} == want
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_promotion_history_has_one_open_interval(spark):
+    from lexispark.operators import publish as pu
+    log = [(3, "b", 20, "again", True), (1, "a", 10, "first", True), (2, "c", 15, None, False), (4, "a", 20, "back", True), (5, "a", 31, "", True)]
+    decisions = spark.createDataFrame(log + log, "request_id int, build string, at int, reason string, accepted boolean")
+    history = pu.promotion_history(decisions)
+    assert rows(history, "seq", "request_id", "build", "reason", "valid_from", "valid_to") == [
+        (1, 1, "a", "first", 10, 20), (2, 3, "b", "again", 20, 20), (3, 4, "a", "back", 20, 31), (4, 5, "a", "", 31, None)]
+    moments = spark.createDataFrame([(9,), (10,), (19,), (20,), (30,), (99,)], "moment int")
+    assert rows(pu.build_at(history, moments)) == [(10, "a"), (19, "a"), (20, "a"), (30, "a"), (9, None), (99, "a")]
+    assert pu.promotion_history(decisions.where("false")).count() == 0
+
+
+def test_values_at_addresses(spark):
+    from lexispark.operators import publish as pu
+    table = spark.createDataFrame([(1, "x", 5, None, "t"), (1, "y", 7, 2.5, "u")], "build int, item string, n long, d double, s string")
+    wanted = spark.createDataFrame(
+        [(1, "x", "n", "equals", 5.0, 0.5), (1, "x", "d", "is_null", None, None), (1, "y", "d", "differs", 0.0, None),
+         (1, "y", "n", "equals", 9.0, 1.0), (1, "z", "n", "is_null", None, None), (1, "y", "nothing", "is_null", None, None)],
+        "build int, item string, column string, rule string, expected double, tolerance double")
+    observed = pu.observed_values(table, ["build", "item"], wanted)
+    assert rows(observed, "item", "column", "value") == [("x", "d", None), ("x", "n", 5.0), ("y", "d", 2.5), ("y", "n", 7.0)]
+    checked = pu.verify(observed, wanted, ["build", "item", "column"])
+    assert rows(checked, "item", "column", "status") == [
+        ("x", "d", "PASS"), ("x", "n", "PASS"), ("y", "d", "PASS"), ("y", "n", "FAIL"), ("y", "nothing", "FAIL"), ("z", "n", "FAIL")]
+
+
 def test_lines_are_numbered_without_bounds(spark, tmp_path):
     """More lines than 2**20 in one document, and document ids near the end of a long."""
     from lexispark.sources.adapters import line_units
