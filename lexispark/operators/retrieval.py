@@ -80,6 +80,39 @@ def union_layers(*layers: DataFrame) -> DataFrame:
     return rows.groupBy("unit_id").agg(F.min("layer").alias("layer"))
 
 
+def item_layers(tokens: DataFrame, members: DataFrame, edges: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, layer, unit_id, ref_id): the three retrieval layers of many items at a time.
+
+    Layer 1 has the tokens of the item, layer 2 those of its fields' other members, layer 3 the other ends of confirmed
+    edges that touch a unit of layer 1; ref_id is the token's or the edge's id. ``items`` has item, the root. An edge
+    that touches an item's units with both ends counts once for that item and yields b. A unit that holds an item many
+    times is one row before edges are looked up, and each side of an edge is found by an equi-join on the unit.
+    """
+    roots = items.select(F.col("item").alias("root")).distinct()
+    first = tokens.join(roots, "root", "left_semi").select(
+        F.col("root").alias("item"), F.lit(1).alias("layer"), "unit_id", F.col("token_id").alias("ref_id"))
+    second = occurrences_by_field(tokens, members, items.select("item").distinct()).select(
+        F.col("of_item").alias("item"), "layer", "unit_id", F.col("token_id").alias("ref_id"))
+    own = first.select("item", F.col("unit_id").alias("_u")).distinct()
+    confirmed = edges.where(F.col("status") == "confirmed")
+
+    def side(near: str, far: str, turn: int) -> DataFrame:
+        return confirmed.join(own, F.col(near) == F.col("_u")).select(
+            "item", "edge_id", F.struct(F.lit(turn).alias("turn"), F.col(far).alias("unit_id")).alias("_end"))
+
+    third = side("a", "b", 0).unionByName(side("b", "a", 1)).groupBy("item", "edge_id").agg(F.min("_end").alias("_end")).select(
+        "item", F.lit(3).alias("layer"), F.col("_end.unit_id").alias("unit_id"), F.col("edge_id").alias("ref_id"))
+    return first.unionByName(second).unionByName(third)
+
+
+def units_of_layers(layers: DataFrame) -> DataFrame:
+    """(item, unit_id, layer): every unit of an item once, with the first layer that found it.
+
+    The smallest layer per item and unit is taken in every task before the rows meet, so a hot item is reduced first.
+    """
+    return layers.groupBy("item", "unit_id").agg(F.min("layer").alias("layer"))
+
+
 def count_with_zero(dictionary: DataFrame, tokens: DataFrame, key: str, name: str = "occurrences") -> DataFrame:
     """Dictionary rows with their token count, zero included."""
     counts = tokens.groupBy(key).agg(F.count(F.lit(1)).alias(name))
@@ -243,3 +276,37 @@ def item_dossier(tokens: DataFrame, letters: DataFrame, dictionary: DataFrame, l
         .join(previews, "token_id", "left")
         .join(statistics, item, "left")
     )
+
+
+def layer_previews(layers: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
+    """(item, retrieval): per item an array with layer, total and the first ``k`` rows of all three layers.
+
+    Rows are ordered by unit, then by token or edge. A layer that found nothing has total 0 and no rows. The arrays hold
+    at most three times ``k`` rows, whatever the item's size.
+    """
+    shown = preview_top(layers, ["item", "layer"], [F.asc("unit_id"), F.asc("ref_id")], k).groupBy("item", "layer").agg(
+        F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("rank", "unit_id", "ref_id"))).alias("preview"))
+    every = items.select("item").distinct().select("item", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("layer"))
+    filled = every.join(shown, ["item", "layer"], "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
+    return filled.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("layer", "total", "preview"))).alias("retrieval"))
+
+
+def word_dossier(words: DataFrame, letters: DataFrame, fields: DataFrame, previews: DataFrame, statistics: DataFrame,
+                 analyses: DataFrame) -> DataFrame:
+    """Everything known about each word in one row: letters, dictionary entry, three layers, statistics, analysis.
+
+    ``words`` has token_id, root, lemma, norm. ``fields`` is keyed by root, ``previews`` comes from
+    :func:`layer_previews`, ``statistics`` (lemma, statistics) holds the nested item views of the published build, and
+    ``analyses`` (lemma, analysis) the published version about a lemma. A word without root has no layers, one without
+    lemma neither statistics nor analysis. All nested values are bounded: by the word's length, the preview size, and the
+    number of partners shown.
+    """
+    spelled = decompose_letters(words, letters).groupBy("token_id").agg(
+        F.sort_array(F.collect_list(F.struct("letter_pos", "letter", "name"))).alias("letters"))
+    return (
+        words.join(spelled, "token_id", "left")
+        .join(fields, "root", "left")
+        .join(previews.withColumnRenamed("item", "root"), "root", "left")
+        .join(statistics, "lemma", "left")
+        .join(analyses, "lemma", "left")
+    )

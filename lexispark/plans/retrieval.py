@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexispark.operators import cooccurrence as co
+from lexispark.operators import dispersion as di
+from lexispark.operators import publish as pu
 from lexispark.operators import retrieval as rt
 from lexispark.operators import spans as sp
 from lexispark.operators import statistics_view as sv
 from lexispark.plans import builds as bd
 from lexispark.plans.load import LETTERS_SQL, letter_dictionary, spaced_tokens
+from lexispark.plans.pairs import dispersion_sql
 from lexispark.plans.registry import LINE_SETS, TOKENS, query
 from lexispark.plans.spans import SPANS, annotations
 from lexispark.session import with_global_rank
-from lexispark.sources.adapters import line_tokens, line_units, table
+from lexispark.sources.adapters import basket_tokens, line_tokens, line_units, table
 
 # ---- labels, occurrences, layers ----------------------------------------------------------------
 
@@ -128,6 +131,25 @@ def union_layers(spark, d):
     return rt.union_layers(first, second, rt.related_units(_edges(spark, d), _chosen(spark, d)))
 
 
+_LAYERS = f"""{_FIELDS}, {_EDGES},
+ends AS (SELECT c.root AS item, edge_id, 0 AS turn, b AS unit_id FROM edges JOIN customers c ON c.unit_id = a
+  UNION ALL SELECT c.root, edge_id, 1, a FROM edges JOIN customers c ON c.unit_id = b),
+layers AS (SELECT root AS item, 1 AS layer, unit_id, token_id AS ref_id FROM customers
+  UNION ALL SELECT of_item, 2, unit_id, token_id FROM layer2
+  UNION ALL SELECT item, 3, arg_min(unit_id, (turn, unit_id)), edge_id FROM ends GROUP BY item, edge_id)"""
+
+
+def _layers(spark, d):
+    items = table(spark, d, "nation").select(F.col("n_name").alias("item"))
+    return rt.item_layers(_customers(spark, d), _members(spark, d), _edges(spark, d), items)
+
+
+@query("union_layers_many", f"WITH {_LAYERS} SELECT item, unit_id, min(layer) AS layer FROM layers GROUP BY item, unit_id")
+def union_layers_many(spark, d):
+    """The units of all nations at once, each with the lowest layer that found it."""
+    return rt.units_of_layers(_layers(spark, d))
+
+
 @query("preview_top", """
 SELECT c_nationkey, c_custkey, CAST(row_number() OVER w AS INTEGER) AS rank, count(*) OVER (PARTITION BY c_nationkey) AS total
 FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) QUALIFY rank <= 20""")
@@ -262,7 +284,9 @@ def tag_vs_substring(spark, d):
 
 # ---- the statistics view ------------------------------------------------------------------------
 
-_VIEW = f"""{bd.BASKET_COLL},
+def view_sql(coll: str) -> str:
+    """CTEs up to ``shown``: a pair table seen from single items, the five strongest partners and the changed ones."""
+    return f"""{coll},
 view AS (SELECT *, item_a AS item, item_b AS partner FROM coll UNION ALL SELECT *, item_b, item_a FROM coll),
 changed AS (SELECT r.item_type, r.item, r.partner FROM view r JOIN view f USING (item_type, item, partner)
   WHERE r.variant = 'raw' AND f.variant = 'phrase_reduced' AND (r.fdr_significant <> f.fdr_significant OR r.direction <> f.direction)),
@@ -271,6 +295,9 @@ marked AS (SELECT v.*, c.item IS NOT NULL AS status_changed, row_number() OVER (
 shown AS (SELECT * FROM marked WHERE rank <= 5 OR status_changed)"""
 
 
+_VIEW = view_sql(bd.BASKET_COLL)
+
+
 def _view(spark, d):
     return sv.with_direction(sv.partner_view(bd.basket_table(spark, d).withColumn("g2", F.round("g2", 9))))
 
@@ -354,16 +381,66 @@ def variant_compare(spark, d):
             F.col(f"fdr_significant_{s}").alias(f"sig_{s}"))])
 
 
-@query("item_statistics_nested")
+ELEMENTS = """variant, item_type, item, total, shown_n AS shown, partner, n_ab, direction, fdr_significant, status_changed, round(g2, 1) AS g2,
+  n_units, round(juilland_d, 3) AS juilland_d, round(dp, 3) AS dp, profiles, profile_units"""
+
+
+def elements_sql(coll: str, profiles: str) -> str:
+    """CTEs up to ``elements``: the nested item view of a pair table, one row per shown partner.
+
+    ``profiles`` is a query for variant, item_type, item, profiles and profile_units.
+    """
+    return dispersion_sql(view_sql(coll)) + f""",
+profs AS ({profiles}),
+sizes AS (SELECT variant, item_type, item, count(*) AS total, count(*) FILTER (rank <= 5 OR status_changed) AS shown_n FROM marked GROUP BY ALL),
+elements AS (SELECT s.variant, s.item_type, s.item, z.total, z.shown_n, s.partner, s.n_ab, s.direction, s.fdr_significant, s.status_changed, s.g2,
+    d.n_units, d.juilland_d, d.dp, p.profiles, p.profile_units
+  FROM shown s JOIN sizes z ON z.variant = s.variant AND z.item_type = s.item_type AND z.item = s.item
+  LEFT JOIN disp d ON d.variant = 'raw' AND d.item_type = s.item_type AND d.item = s.item
+  LEFT JOIN profs p ON p.variant = s.variant AND p.item_type = s.item_type AND p.item = s.item)"""
+
+
+def elements(nested):
+    """The rows of :func:`item_statistics` with one row per partner, rounded."""
+    rows = nested.select("variant", "item_type", "item", "total", "shown", "dispersion", "profiles", "profile_units", F.inline("partners"))
+    return rows.select(
+        "variant", "item_type", "item", "total", "shown", "partner", "n_ab", "direction", "fdr_significant", "status_changed", "g2",
+        "dispersion.n_units", "dispersion.juilland_d", "dispersion.dp", "profiles", "profile_units")
+
+
+def profiles_by_variant(tokens, kept, item_types):
+    """Distinct profiles and units per item in both variants; ``kept`` are the tokens that masking leaves."""
+    found = None
+    for variant, rows in (("raw", tokens), ("phrase_reduced", kept)):
+        for item_type in item_types:
+            part = rt.profile_counts(rows.where(F.col(item_type).isNotNull() & (F.col(item_type) != "")), [item_type]).select(
+                F.lit(variant).alias("variant"), F.lit(item_type).alias("item_type"), F.col(item_type).alias("item"), "profiles",
+                F.col("n_units").alias("profile_units"))
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _profiled(tokens):
+    """Basket lines with a form, their size, and two features."""
+    return tokens.withColumn("norm", F.col("size").cast("string")).withColumn("features", F.array(
+        F.when(F.col("size") > 25, "large").otherwise("small"), F.concat(F.lit("pos:"), F.col("pos"))))
+
+
+_BASKET_PROFILES = """
+SELECT CASE WHEN v.reduced THEN 'phrase_reduced' ELSE 'raw' END AS variant, x.item_type, CASE x.item_type WHEN 'brand' THEN brand ELSE type END AS item,
+  count(DISTINCT (size, size > 25, pos)) AS profiles, count(DISTINCT unit_id) AS profile_units
+FROM flagged, (SELECT unnest([false, true]) AS reduced) v, (SELECT unnest(['brand', 'type']) AS item_type) x WHERE kept OR NOT v.reduced GROUP BY ALL"""
+
+
+@query("item_statistics_nested", f"WITH {elements_sql(bd.BASKET_COLL, _BASKET_PROFILES)} SELECT {ELEMENTS} FROM elements")
 def item_statistics_nested(spark, d):
-    """The same view as one nested row per item of the published build, with dispersion and profile counts."""
-    table_ = bd.basket_table(spark, d).withColumn("build", F.lit(1)).withColumn("top_section", F.col("top_section").cast("string"))
-    sets = bd.basket_sets(spark, d)
-    profiles = co.marginals(sets).select("item_type", "item", F.inline(F.array(
-        F.struct(F.lit("raw").alias("variant"), F.col("n_raw").alias("profile_units")),
-        F.struct(F.lit("phrase_reduced").alias("variant"), F.col("n_reduced").alias("profile_units")))))
+    """One nested row per item of the published build, with dispersion and the profile counts of both variants; here with
+    one row per partner, so that every nested value is compared."""
+    table_ = bd.basket_table(spark, d).withColumn("build", F.lit(1)).withColumn("g2", F.round("g2", 9))
+    tokens = _profiled(basket_tokens(spark, d))
+    profiles = profiles_by_variant(tokens, co.mask_ranges(tokens, bd.basket_ranges(spark, d)), ("brand", "type"))
     builds = spark.createDataFrame([(1, True), (2, False)], "build int, is_current boolean")
-    return sv.item_statistics(table_, bd.basket_dispersion(spark, d), profiles, builds)
+    return elements(sv.item_statistics(table_, bd.basket_dispersion(spark, d), profiles, builds, 5))
 
 
 @query("item_dossier", f"""
@@ -385,3 +462,112 @@ def item_dossier(spark, d):
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
     return rows.select("token_id", "root", size("letters").alias("n_letters"), "occurrences", size("retrieval").alias("n_preview"),
                        F.coalesce(F.col("retrieval")[0]["total"], F.lit(0)).alias("total"))
+
+
+# ---- the whole dossier of a word ------------------------------------------------------------------
+
+
+_BUYERS = """
+tokens AS (SELECT l_partkey AS unit_id, p_brand AS section, l_orderkey * 8 + l_linenumber AS pos, n_name AS root, c_mktsegment AS lemma,
+    o_orderpriority AS norm, l_linestatus AS ending, l_quantity > 25 AS many, l_returnflag
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey),
+returned AS (SELECT DISTINCT unit_id, pos FROM tokens WHERE l_returnflag = 'R'),
+firsts AS (SELECT unit_id FROM tokens WHERE false),
+flagged AS (SELECT t.*, r.unit_id IS NULL AS kept FROM tokens t LEFT JOIN returned r USING (unit_id, pos)),
+sets AS (SELECT item_type, unit_id, section, item, bool_or(kept) AS in_reduced FROM (
+  SELECT 'root' AS item_type, unit_id, section, root AS item, kept FROM flagged
+  UNION ALL SELECT 'lemma', unit_id, section, lemma, kept FROM flagged) WHERE item <> '' GROUP BY ALL)"""
+
+_BUYER_PROFILES = """
+SELECT CASE WHEN v.reduced THEN 'phrase_reduced' ELSE 'raw' END AS variant, 'lemma' AS item_type, lemma AS item,
+  count(DISTINCT (norm, ending, many)) AS profiles, count(DISTINCT unit_id) AS profile_units
+FROM flagged, (SELECT unnest([false, true]) AS reduced) v WHERE kept OR NOT v.reduced GROUP BY ALL"""
+
+
+def _buyers(spark, d):
+    """Parts as units, their buyers as tokens: root = the customer's nation, lemma = the market segment."""
+    lines = table(spark, d, "lineitem", "l_partkey", "l_orderkey", "l_linenumber", "l_linestatus", "l_quantity", "l_returnflag")
+    rows = (
+        lines.join(table(spark, d, "part", "p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, d, "nation", "n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")))
+    return rows.select(
+        F.col("l_partkey").alias("unit_id"), F.col("p_brand").alias("section"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.col("n_name").alias("root"),
+        F.col("c_mktsegment").alias("lemma"), F.col("o_orderpriority").alias("norm"),
+        F.array("l_linestatus", F.when(F.col("l_quantity") > 25, "many").otherwise("few")).alias("features"), "l_returnflag")
+
+
+def _buyer_statistics(spark, d):
+    """The nested item views of the published build of the buyers."""
+    tokens = _buyers(spark, d)
+    ranges = tokens.where("l_returnflag = 'R'").select("unit_id", F.col("pos").alias("start_pos"), F.col("pos").alias("end_pos"))
+    built = bd.once(spark, d, "buyer_table", lambda: co.collocation_table(tokens, {"root": "root", "lemma": "lemma"}, ranges))
+    spread = bd.stored(spark, d, "buyer_dispersion", lambda: di.dispersion_table(co.item_sets(co.item_occurrences(
+        co.flag_masked(tokens, ranges), {"root": "root", "lemma": "lemma"}))))
+    profiles = profiles_by_variant(tokens, co.mask_ranges(tokens, ranges), ("lemma",))
+    builds = spark.createDataFrame([(1, True)], "build int, is_current boolean")
+    table_ = built.withColumn("build", F.lit(1)).withColumn("g2", F.round("g2", 9))
+    return sv.item_statistics(table_, spread, profiles, builds, 5)
+
+
+def _analyses(spark, d):
+    """Every order is a version of the analysis of its customer's market segment; finished ones were reviewed."""
+    orders = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice").join(
+        table(spark, d, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    versions = orders.select(
+        F.col("o_orderkey").alias("version"), F.lit("lemma").alias("subject_type"), F.lit(None).cast("long").alias("subject_id"),
+        F.col("c_mktsegment").alias("subject_ref"), F.col("o_totalprice").alias("content"))
+    log = orders.select(F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("at"),
+                        F.when(F.col("o_orderstatus") == "F", "reviewed").otherwise("").alias("reason"))
+    current = pu.promote_subject(versions, log).where("is_current")
+    return current.select(F.col("subject_ref").alias("lemma"), F.struct("version", "content", "promoted_at").alias("analysis"))
+
+
+def _dossier(spark, d):
+    words = _customers(spark, d).select("token_id", "root", "lemma", F.lower("norm").alias("norm"))
+    items = table(spark, d, "nation").select(F.col("n_name").alias("item"))
+    fields = _members(spark, d).where("member_type = 'root' and status = 'confirmed'").groupBy(F.col("item").alias("root")).agg(
+        F.sort_array(F.collect_set("field_id")).alias("fields"))
+    statistics = _buyer_statistics(spark, d).where("item_type = 'lemma'")
+    by_lemma = statistics.groupBy(F.col("item").alias("lemma")).agg(F.collect_list(F.struct(*statistics.columns)).alias("statistics"))
+    return rt.word_dossier(words, letter_dictionary(spark, d), fields, rt.layer_previews(_layers(spark, d), items), by_lemma,
+                           _analyses(spark, d))
+
+
+@query("word_dossier", f"""
+WITH {_LAYERS}, {LETTERS_SQL},
+ranked AS (SELECT item, layer, unit_id, ref_id, row_number() OVER w AS rank, count(*) OVER (PARTITION BY item, layer) AS total FROM layers
+  WINDOW w AS (PARTITION BY item, layer ORDER BY unit_id, ref_id)),
+every AS (SELECT n_name AS item, unnest([1, 2, 3]) AS layer FROM nation),
+previews AS (SELECT e.item, e.layer, coalesce(total, 0) AS total, rank, unit_id, ref_id
+  FROM every e LEFT JOIN ranked r ON r.item = e.item AND r.layer = e.layer AND rank <= 20),
+spelled AS (SELECT token_id, string_agg(letter, '' ORDER BY p) AS letters FROM (
+  SELECT token_id, unnest(string_split(name, '')) AS letter, generate_subscripts(string_split(name, ''), 1) AS p
+  FROM (SELECT c_custkey AS token_id, lower(c_name) AS name FROM customer)) JOIN letters USING (letter) GROUP BY token_id),
+current AS (SELECT c_mktsegment AS lemma, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS version, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS content
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY c_mktsegment)
+SELECT c.token_id, c.root, (SELECT string_agg(DISTINCT field_id, ',' ORDER BY field_id) FROM members m WHERE m.member_type = 'root' AND m.item = c.root) AS fields,
+  s.letters, layer, total, CAST(rank AS INTEGER) AS rank, p.unit_id, ref_id, version, content
+FROM customers c LEFT JOIN spelled s USING (token_id) JOIN previews p ON p.item = c.root LEFT JOIN current ON current.lemma = c.lemma""")
+def word_dossier(spark, d):
+    """Every customer's dossier with one row per previewed element of each layer."""
+    rows = _dossier(spark, d).select(
+        "token_id", "root", F.array_join("fields", ",").alias("fields"), F.array_join("letters.letter", "").alias("letters"),
+        F.col("analysis.version").alias("version"), F.col("analysis.content").alias("content"), F.inline("retrieval"))
+    return rows.select("token_id", "root", "fields", "letters", "version", "content", "layer", "total", F.inline_outer("preview")).select(
+        "token_id", "root", "fields", "letters", "layer", "total", "rank", "unit_id", "ref_id", "version", "content")
+
+
+@query("word_dossier_statistics", f"""
+WITH {elements_sql(bd.pair_table_sql(_BUYERS), _BUYER_PROFILES)}
+SELECT c_custkey AS token_id, {ELEMENTS} FROM elements JOIN customer ON c_mktsegment = item WHERE item_type = 'lemma'""")
+def word_dossier_statistics(spark, d):
+    """The statistics in every customer's dossier, one row per shown partner."""
+    rows = _dossier(spark, d).select("token_id", F.explode("statistics").alias("s")).select("token_id", "s.*")
+    found = rows.select("token_id", "variant", "item_type", "item", "total", "shown", "dispersion", "profiles", "profile_units", F.inline("partners"))
+    return found.select(
+        "token_id", "variant", "item_type", "item", "total", "shown", "partner", "n_ab", "direction", "fdr_significant", "status_changed",
+        "g2", "dispersion.n_units", "dispersion.juilland_d", "dispersion.dp", "profiles", "profile_units")
