@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lexispark.llm.textkit import PieceEncoder, gather, text_chunks
+from lexispark.llm.textkit import PieceEncoder, gather, library_classes, packed_classes, text_chunks, unpacked_classes
 
 _NONE = 1 << 30
 
@@ -105,10 +105,25 @@ def load_ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
+@lru_cache(maxsize=1)
+def classes() -> tuple[bytes, bytes]:
+    """The classes of all code points by the tiktoken library's tables, packed."""
+    import public_tokenizers
+    import tiktoken
+
+    def whole(texts: list[str]) -> list[bool]:
+        pieces = {t.encode() for t in texts if len(t.encode()) > 1}
+        ranks = {bytes([i]): i for i in range(256)} | {p: 256 + i for i, p in enumerate(sorted(pieces))}
+        probe = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return [len(ids) == 1 for ids in probe.encode_ordinary_batch(texts, num_threads=1)]
+
+    return packed_classes(library_classes(whole))
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> PieceEncoder:
+def _encoder(path: str, packed: tuple[bytes, bytes]) -> PieceEncoder:
     ranks = load_ranks(path)
-    return PieceEncoder(lambda pieces: [ranks.encode_piece(p.encode()) for p in pieces])
+    return PieceEncoder(lambda pieces: [ranks.encode_piece(p.encode()) for p in pieces], unpacked_classes(packed))
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -124,9 +139,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False
     added = ["token_ids"] + ["decoded"] * decoded
     base = docs.select(*[c for c in docs.columns if c not in added])
     fields = base.columns
+    packed = classes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ranks = _encoder(path), load_ranks(path)
+        encoder, ranks = _encoder(path, packed), load_ranks(path)
         for batch in text_chunks(batches, text, 1 << 19):
             ids, bounds = encoder(batch.column(text).to_pylist())
             columns = [batch.column(name) for name in fields] + [_lists(ids.view(np.int32), bounds, pa.int32())]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from lexispark.llm.textkit import PieceEncoder, text_chunks
+from lexispark.llm.textkit import PieceEncoder, library_classes, packed_classes, text_chunks, unpacked_classes
 
 BLOCK = 1 << 16         # ids of a block; a multiple of 8, so that blocks end on bytes
 ROWS_AT_ONCE = 500      # rows of an Arrow batch on the way to a file
@@ -214,15 +214,24 @@ class TokenFiles(DataSource):
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> PieceEncoder:
+def classes(path: str) -> tuple[bytes, bytes]:
+    """The classes of all code points by the tokenizer file's own splitting rule in the library's tables, packed."""
+    from tokenizers import Tokenizer
+
+    rule = Tokenizer.from_file(path).pre_tokenizer
+    return packed_classes(library_classes(lambda texts: [len(rule.pre_tokenize_str(t)) == 1 for t in texts]))
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, packed: tuple[bytes, bytes]) -> PieceEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"      # the tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return PieceEncoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+    return PieceEncoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)],
+                        unpacked_classes(packed))
 
 
 @lru_cache(maxsize=2)
@@ -238,9 +247,9 @@ def _whole_encoder(path: str):
     return tokenizer, re.compile("|".join(map(re.escape, contents)), re.IGNORECASE) if contents else None
 
 
-def _encode_with_added(path: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def _encode_with_added(path: str, packed: tuple[bytes, bytes], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Ids and bounds as of :class:`PieceEncoder`; texts that hold an added token are encoded whole by the library."""
-    pieces, (tokenizer, added) = _encoder(path), _whole_encoder(path)
+    pieces, (tokenizer, added) = _encoder(path, packed), _whole_encoder(path)
     held = [i for i, t in enumerate(texts) if t and added.search(t)] if added else []
     if not held:
         return pieces(texts)
@@ -256,16 +265,18 @@ def _encode_with_added(path: str, texts: list[str | None]) -> tuple[np.ndarray,
 
 
 def encode_texts(
-    docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id", added_tokens: bool = False
+    docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """(doc_id, ids) of each row: the ids of the whole text by a byte-level tokenizer file, then ``end_id``.
 
     Byte-level vocabularies encode each pre-token on its own, so the library is asked once per distinct pre-token of a
-    task. With ``added_tokens`` the file's added tokens, such as ``<|endoftext|>``, get their own ids wherever a text
-    holds them, as by the library's default; without, they are text like any other. A null text counts as empty.
+    task. The file's added tokens, such as ``<|endoftext|>``, get their own ids wherever a text holds them, as by the
+    library's default. A null text counts as empty; repeated rows are encoded each.
     """
+    packed = classes(tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = partial(_encode_with_added, tokenizer) if added_tokens else _encoder(tokenizer)
+        encoder = partial(_encode_with_added, tokenizer, packed)
         for batch in text_chunks(batches, "text", 1 << 19):
             ids, bounds = encoder(batch.column(1).to_pylist())
             ids = np.insert(ids, bounds[1:], end_id)
@@ -278,13 +289,12 @@ def encode_texts(
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int, text: str = "text", key: str = "doc_id",
-    added_tokens: bool = False
+    docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int, text: str = "text", key: str = "doc_id"
 ) -> None:
     """Write all texts in ascending key order (null keys first, equal keys by text), one shard per range of keys.
 
     ``path`` is a folder that driver and executors share; files there that no manifest names are never read. An empty
-    table gives an empty data set; other columns are not read. ``added_tokens`` is that of :func:`encode_texts`.
+    table gives an empty data set; other columns are not read.
     """
     spark = docs.sparkSession
     spark.dataSource.register(TokenFiles)
@@ -297,7 +307,7 @@ def write_token_files(
     before = spark.conf.get(rows_at_once)
     spark.conf.set(rows_at_once, str(min(int(before), ROWS_AT_ONCE) if int(before) > 0 else ROWS_AT_ONCE))
     try:
-        encode_texts(ordered, tokenizer, end_id, added_tokens=added_tokens).write.format("token_files").option(
+        encode_texts(ordered, tokenizer, end_id).write.format("token_files").option(
             "bits", bits_for(vocabulary)).mode("append").save(path)
     finally:
         spark.conf.set(rows_at_once, before)

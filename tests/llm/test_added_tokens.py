@@ -27,7 +27,7 @@ def test_added_tokens_have_their_own_ids(spark, tmp_path):
     rows = list(enumerate(TEXTS))
     path = f"file://{tmp_path}/set"
     token_files.write_token_files(
-        spark.createDataFrame(rows, "doc_id long, text string"), path, FILE, 50257, end_id=2, added_tokens=True)
+        spark.createDataFrame(rows, "doc_id long, text string"), path, FILE, 50257, end_id=2)
     got = token_files.read_token_files(spark, path).orderBy("start").collect()
     _check(got, rows)
     assert got[0].n_tokens == 5 and 50256 in np.frombuffer(bytes(got[0].ids_le32), "<u4")
@@ -36,7 +36,7 @@ def test_added_tokens_have_their_own_ids(spark, tmp_path):
 def test_awkward_rows_as_the_library_does(spark, tmp_path):
     docs = awkward(spark)
     path = f"file://{tmp_path}/set"
-    token_files.write_token_files(docs, path, FILE, 50257, end_id=2, added_tokens=True)
+    token_files.write_token_files(docs, path, FILE, 50257, end_id=2)
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()),
                   key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     _check(token_files.read_token_files(spark, path).orderBy("start").collect(), rows)

@@ -66,7 +66,6 @@ def test_token_files(spark, odd, tmp_path, vocabulary):
     token_files.write_token_files(odd, path, file, vocabulary, end_id=2)
     got = token_files.read_token_files(spark, path).orderBy("start").collect()
     tokenizer = Tokenizer.from_file(file)
-    tokenizer.encode_special_tokens = True
     rows = sorted(((r.doc_id, r.text) for r in odd.collect()),
                   key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     before = 0
