@@ -56,7 +56,7 @@ def overwrite_table(spark, d):
     rows = table(spark, d, "customer", "c_custkey", "c_mktsegment")
     for _ in range(2):  # a repeated load leaves the same rows
         tb.overwrite_table(rows, path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return tb.read_published(spark, path)
 
 
 @query("replace_partition", """
@@ -81,6 +81,34 @@ def insert_unique(spark, d):
     return tb.insert_unique(table(spark, d, "lineitem", *_LINE_KEY, "l_partkey", "l_suppkey"), _LINE_KEY)
 
 
+@query("insert_unique_published", """
+WITH kept AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+SELECT l_returnflag, count(*) AS n_rows, (SELECT count(*) FROM lineitem) AS asked, (SELECT count(*) FROM kept) AS stored
+FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) GROUP BY l_returnflag""")
+def insert_unique_published(spark, d):
+    """The reload with its counts taken while it was written, read back by return flag."""
+    path = _path(spark)
+    asked, stored = tb.insert_unique_published(table(spark, d, "lineitem", *_LINE_KEY, "l_returnflag", "l_partkey"), _LINE_KEY, path)
+    return tb.read_published(spark, path).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "l_returnflag", "n_rows", F.lit(asked).cast("long").alias("asked"), F.lit(stored).cast("long").alias("stored"))
+
+
+@query("update_partitions", """
+WITH delta AS (SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal FROM orders JOIN customer ON c_custkey = o_custkey
+  WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY o_custkey)
+SELECT c_custkey, c_mktsegment, coalesce(x.c_acctbal, c.c_acctbal) AS c_acctbal, (SELECT count(DISTINCT c_mktsegment) FROM customer
+  WHERE c_custkey IN (SELECT c_custkey FROM delta)) AS n_written FROM customer c LEFT JOIN delta x USING (c_custkey)""")
+def update_partitions(spark, d):
+    """Balances of two market segments taken from orders; only those two partitions are written anew."""
+    path = _path(spark)
+    base = table(spark, d, "customer", "c_custkey", "c_acctbal", "c_mktsegment")
+    base.write.partitionBy("c_mktsegment").parquet(path)
+    some = base.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey")
+    delta = table(spark, d, "orders", "o_custkey", "o_totalprice").toDF("c_custkey", "c_acctbal").join(some, "c_custkey", "left_semi")
+    written = tb.update_partitions(spark, path, delta, "c_custkey", "c_acctbal", ["c_mktsegment"])
+    return spark.read.parquet(path).select("c_custkey", "c_mktsegment", "c_acctbal", F.lit(written).cast("long").alias("n_written"))
+
+
 @query("insert_gap_audit", """
 WITH kept AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL),
 stored AS (SELECT l_returnflag, count(*) AS n FROM kept GROUP BY ALL),

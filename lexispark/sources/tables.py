@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexispark.session import with_global_rank
+from lexispark.session import settle, with_global_rank
 
 SPAN_TYPE = "array<struct<rule:string,start:int,end:int>>"
 
@@ -54,13 +55,113 @@ def explode_json_map(df: DataFrame, json: Column, *keep: str) -> DataFrame:
     return rows.withColumn("unit_id", F.col("unit_key").cast("long")).drop("unit_key")
 
 
-def overwrite_table(df: DataFrame, path: str) -> None:
-    """Full idempotent reload."""
-    df.write.mode("overwrite").parquet(path)
+_POINTER = "current"       # names the folder of the version that readers see
+
+
+class Refused(ValueError):
+    """A staged version did not pass its audit; readers keep the old one."""
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder, files = _file_system(spark, path)
+    files.delete(folder, True)
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Let readers of ``path`` see ``version``: one rename over the old pointer."""
+    jvm = spark.sparkContext._jvm
+    fresh, files = _file_system(spark, f"{path}/{_POINTER}.{uuid.uuid4().hex}")
+    out = files.create(fresh)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fresh.toUri() if fresh.toUri().getScheme() else files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(files.makeQualified(fresh), files.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}/{_POINTER}")), options)
+
+
+def current_path(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version in force, None before the first one."""
+    pointer, files = _file_system(spark, f"{path}/{_POINTER}")
+    if not files.exists(pointer):
+        return None
+    return f"{path}/{spark.read.text(str(files.makeQualified(pointer))).first()[0]}"
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The version in force; a later swing of the pointer does not disturb who reads it."""
+    found = current_path(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"{path} has no published version")
+    return spark.read.parquet(found)
+
+
+def _staged(df: DataFrame, path: str, audit: Callable[[], str | None]) -> str:
+    """Write ``df`` as a new version, audit it, point to it. The old version stays readable throughout."""
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(f"{path}/{version}")
+        if (problem := audit()) is not None:
+            raise Refused(problem)
+    except Exception:
+        _delete(spark, f"{path}/{version}")
+        raise
+    _point(spark, path, version)
+    return f"{path}/{version}"
+
+
+def overwrite_table(df: DataFrame, path: str, least: int = 0) -> int:
+    """Full idempotent reload that readers survive: write, audit, publish. Returns the number of rows.
+
+    The rows are counted while they are written. A write that fails, or leaves fewer than ``least`` rows, changes nothing
+    for readers. Read the table with :func:`read_published`; :func:`retire_versions` deletes what is no longer in force.
+    """
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    _staged(counted, path, lambda: None if seen.get["rows"] >= least else f"{seen.get['rows']} rows, at least {least} wanted")
+    return seen.get["rows"]
+
+
+def retire_versions(spark: SparkSession, path: str) -> int:
+    """Delete every version but the one in force; for a time when nobody reads an older one. Returns how many went."""
+    kept = current_path(spark, path)
+    folder, files = _file_system(spark, path)
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    old = [n for n in names if n.startswith("v-") and f"{path}/{n}" != kept]
+    for name in old:
+        _delete(spark, f"{path}/{name}")
+    return len(old)
+
+
+def insert_unique_published(rows: DataFrame, key: Sequence[str], path: str, most_missing: int | None = None) -> tuple[int, int]:
+    """Reload a table by insert-or-ignore on ``key``; returns how many rows were asked and stored.
+
+    Both are counted in the one pass that writes: what comes in before the key decides, and what goes out after it. If
+    more than ``most_missing`` rows were ignored the version is refused and readers keep the old one.
+    """
+    asked, stored = Observation(), Observation()
+    kept = insert_unique(rows.observe(asked, F.count(F.lit(1)).alias("n")), key).observe(stored, F.count(F.lit(1)).alias("n"))
+
+    def audit() -> str | None:
+        missing = asked.get["n"] - stored.get["n"]
+        return f"{missing} rows share a key" if most_missing is not None and missing > most_missing else None
+
+    _staged(kept, path, audit)
+    return asked.get["n"], stored.get["n"]
 
 
 def replace_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Replace exactly the partitions that occur in ``df`` and leave the others alone."""
+    """Replace exactly the partitions that occur in ``df`` and leave the others alone.
+
+    Spark stages the new partitions and swaps them in when the whole write is done; one that fails changes nothing.
+    """
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -109,6 +210,23 @@ def update_from(base: DataFrame, delta: DataFrame, key: str, column: str) -> Dat
     )
 
 
+def update_partitions(spark: SparkSession, path: str, delta: DataFrame, key: str, column: str, by: Sequence[str]) -> int:
+    """:func:`update_from` on a table stored in partitions ``by``; returns how many partitions were written anew.
+
+    Keys are looked up first, from the key and partition columns alone; then only partitions that hold a key of the delta
+    are read and replaced. Files of all others stay as they are. Their list is as long as the table has partitions.
+    """
+    base = spark.read.parquet(path)
+    fresh = settle(delta.groupBy(key).agg(F.max(column).alias(column)))
+    touched = base.select(key, *by).join(fresh.select(key), key, "left_semi").select(*by).distinct().collect()
+    if not touched:
+        return 0
+    inside = reduce(Column.__or__, [reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(r[c])) for c in by]) for r in touched])
+    # stored before the partitions that it is read from are replaced
+    replace_partitions(settle(update_from(base.where(inside), fresh, key, column)), path, by)
+    return len(touched)
+
+
 def register_sources(registry: DataFrame, wanted: DataFrame, key: Sequence[str]) -> DataFrame:
     """Get-or-create: the registry plus the missing entries, numbered on from the highest id."""
     missing = insert_unique(wanted.join(registry, list(key), "left_anti"), key)

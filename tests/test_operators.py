@@ -415,6 +415,78 @@ def test_values_at_addresses(spark):
         ("x", "d", "PASS"), ("x", "n", "PASS"), ("y", "d", "PASS"), ("y", "n", "FAIL"), ("y", "nothing", "FAIL"), ("z", "n", "FAIL")]
 
 
+def test_readers_survive_a_failed_reload(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    good = spark.range(100).withColumn("v", F.lit("old"))
+    assert tb.overwrite_table(good, path) == 100
+    before = tb.read_published(spark, path)
+    broken = spark.range(0, 1000, 1, 8).select("id", F.when(F.col("id") < 900, "new").otherwise(
+        F.raise_error(F.lit("half-way")).cast("string")).alias("v"))
+    with pytest.raises(Exception, match="half-way"):
+        tb.overwrite_table(broken, path)
+    with pytest.raises(tb.Refused):
+        tb.overwrite_table(good.limit(3), path, least=50)
+    assert rows(tb.read_published(spark, path).groupBy("v").count()) == [("old", 100)]
+    assert tb.overwrite_table(good.withColumn("v", F.lit("new")), path) == 100
+    assert rows(tb.read_published(spark, path).groupBy("v").count()) == [("new", 100)]
+    assert before.where("v = 'old'").count() == 100         # who began to read the old version still can
+    assert tb.retire_versions(spark, path) == 1 and tb.read_published(spark, path).count() == 100
+    with pytest.raises(FileNotFoundError):
+        tb.read_published(spark, f"file://{tmp_path}/none")
+
+
+def test_counts_of_an_insert_come_with_the_write(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")] * 5 + [(3, None)], "k int, v string")
+    assert tb.insert_unique_published(df, ["k"], path) == (16, 3)
+    with pytest.raises(tb.Refused):
+        tb.insert_unique_published(df.unionByName(df), ["k"], path, most_missing=20)
+    assert rows(tb.read_published(spark, path)) == [(1, "a"), (2, "c"), (3, None)]
+
+
+def test_only_touched_partitions_are_written(spark, tmp_path):
+    import os
+    path = f"{tmp_path}/table"
+    base = spark.range(40).select("id", (F.col("id") * 10).alias("v"), (F.col("id") % 4).cast("int").alias("p"))
+    base.repartition(2).write.partitionBy("p").parquet(path)
+    stamp = lambda: {f: os.stat(os.path.join(folder, f)).st_mtime_ns for folder, _, files in os.walk(path) for f in files
+                     if f.endswith(".parquet") and "p=1" not in folder}
+    before = stamp()
+    delta = spark.createDataFrame([(1, 7), (1, 9), (5, -1), (400, 3)], "id long, v long")
+    assert tb.update_partitions(spark, path, delta, "id", "v", ["p"]) == 1
+    assert stamp() == before
+    got = {r.id: r.v for r in spark.read.parquet(path).collect()}
+    assert got == {**{i: i * 10 for i in range(40)}, 1: 9, 5: -1}
+    assert tb.update_partitions(spark, path, delta.where("id = 400"), "id", "v", ["p"]) == 0
+    broken = spark.range(0, 8, 1, 2).select("id", F.when(F.col("id") < 7, F.col("id")).otherwise(
+        F.raise_error(F.lit("half-way")).cast("long")).alias("v"), F.lit(2).alias("p"))
+    with pytest.raises(Exception, match="half-way"):
+        tb.replace_partitions(broken, path, ["p"])
+    assert {r.id: r.v for r in spark.read.parquet(path).collect()} == got
+
+
+def test_layers_of_many_items(spark):
+    tokens = spark.createDataFrame([(1, 10, "x", "m"), (2, 10, "x", "n"), (3, 20, "y", "m"), (4, 30, "z", None), (5, 40, None, "q")],
+                                   "token_id long, unit_id long, root string, lemma string")
+    members = spark.createDataFrame([("f", "root", "x", "confirmed"), ("f", "root", "y", "confirmed"), ("f", "lemma", "q", "confirmed"),
+                                     ("g", "root", "z", "confirmed"), ("g", "root", "x", "proposed")],
+                                    "field_id string, member_type string, item string, status string")
+    edges = spark.createDataFrame([(1, 10, 30, "r", "confirmed"), (2, 20, 10, "r", "confirmed"), (3, 10, 10, "r", "confirmed"),
+                                   (4, 30, 40, "r", "proposed")], "edge_id long, a long, b long, relation string, status string")
+    items = spark.createDataFrame([("x",), ("y",), ("z",), ("none",), ("x",)], "item string")
+    layers = rt.item_layers(tokens, members, edges, items)
+    assert rows(layers, "item", "layer", "unit_id", "ref_id") == [
+        ("x", 1, 10, 1), ("x", 1, 10, 2), ("x", 2, 20, 3), ("x", 2, 40, 5), ("x", 3, 10, 3), ("x", 3, 20, 2), ("x", 3, 30, 1),
+        ("y", 1, 20, 3), ("y", 2, 10, 1), ("y", 2, 10, 2), ("y", 2, 40, 5), ("y", 3, 10, 2),
+        ("z", 1, 30, 4), ("z", 3, 10, 1)]
+    assert rows(rt.units_of_layers(layers), "item", "unit_id", "layer") == [
+        ("x", 10, 1), ("x", 20, 2), ("x", 30, 3), ("x", 40, 2), ("y", 10, 2), ("y", 20, 1), ("y", 40, 2), ("z", 10, 3), ("z", 30, 1)]
+    shown = {r["item"]: [(e.layer, e.total, [p.ref_id for p in e.preview or []]) for e in r.retrieval]
+             for r in rt.layer_previews(layers, items, 1).collect()}
+    assert shown == {"x": [(1, 2, [1]), (2, 2, [3]), (3, 3, [3])], "y": [(1, 1, [3]), (2, 3, [1]), (3, 1, [2])],
+                     "z": [(1, 1, [4]), (2, 0, []), (3, 1, [1])], "none": [(1, 0, []), (2, 0, []), (3, 0, [])]}
+
+
 def test_lines_are_numbered_without_bounds(spark, tmp_path):
     """More lines than 2**20 in one document, and document ids near the end of a long."""
     from lexispark.sources.adapters import line_units
