@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.session import with_global_rank, with_global_sum
+from lexispark.session import with_global_rank, with_global_sum, with_group_rank
 
 
 def verify(observed: DataFrame, expectations: DataFrame, by: Sequence[str] = ("build", "name")) -> DataFrame:
@@ -144,13 +144,12 @@ def lineage_children(records: DataFrame) -> DataFrame:
     known = records.select(F.col("record_id").alias("parent_id"))
     kids = records.join(known, "parent_id").select(
         F.col("parent_id").alias("record_id"), F.col("record_id").alias("child_id"), F.col("statement").alias("child_statement"))
-    return kids.withColumn("place", F.row_number().over(Window.partitionBy("record_id").orderBy("child_id")))
+    return with_group_rank(kids, ["record_id"], [F.col("child_id")], "place")
 
 
 def verdict_history(verdicts: DataFrame) -> DataFrame:
     """All verdicts of a record, newest first."""
-    newest = Window.partitionBy("record_id").orderBy(F.desc("at"), F.desc("verdict_id"))
-    return verdicts.withColumn("place", F.row_number().over(newest))
+    return with_group_rank(verdicts, ["record_id"], [F.desc("at"), F.desc("verdict_id")], "place")
 
 
 def evidence_with_units(records: DataFrame, evidence: DataFrame, units: DataFrame) -> DataFrame:

@@ -184,15 +184,24 @@ def unit_bundle(units: DataFrame, tokens: DataFrame, labels: DataFrame, texts: D
                 glosses: DataFrame, segments: DataFrame) -> DataFrame:
     """One nested row per unit: label, preferred text, ordered tokens with gloss and segments.
 
-    The token array is as long as the unit's own text, which already is one value.
+    ``glosses`` and ``segments`` have token_id and, as tokens do, unit_id. All three travel by unit, together and once: a
+    token meets what belongs to it, and the unit its tokens, where that exchange has put them. The token array is as long
+    as the unit's own text, which already is one value.
     """
-    per_token = (
-        tokens.join(glosses, "token_id", "left")
-        .join(segments, "token_id", "left")
-        .groupBy("unit_id")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "token_id", "form", "gloss", "segments"))).alias("tokens"))
-    )
-    return units.join(labels, "unit_id", "left").join(texts, "unit_id", "left").join(per_token, "unit_id", "left")
+    kind = segments.schema["segments"].dataType
+    parts = [
+        tokens.select("unit_id", "token_id", F.struct("pos", "form").alias("token"), F.lit(None).cast("string").alias("gloss"),
+                      F.lit(None).cast(kind).alias("segments")),
+        glosses.select("unit_id", "token_id", F.lit(None).cast(tokens.select(F.struct("pos", "form").alias("t")).schema["t"].dataType).alias("token"),
+                       "gloss", F.lit(None).cast(kind).alias("segments")),
+        segments.select("unit_id", "token_id", F.lit(None).cast(tokens.select(F.struct("pos", "form").alias("t")).schema["t"].dataType).alias("token"),
+                        F.lit(None).cast("string").alias("gloss"), "segments")]
+    together = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition("unit_id")
+    per_token = together.groupBy("unit_id", "token_id").agg(
+        F.max("token").alias("token"), F.max("gloss").alias("gloss"), F.first("segments", ignorenulls=True).alias("segments"))
+    per_unit = per_token.where("token is not null").groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("token.pos").alias("pos"), "token_id", F.col("token.form").alias("form"), "gloss", "segments"))).alias("tokens"))
+    return units.join(labels, "unit_id", "left").join(texts, "unit_id", "left").join(per_unit, "unit_id", "left")
 
 
 def resolve_examples(examples: DataFrame, units: DataFrame, texts: DataFrame) -> DataFrame:

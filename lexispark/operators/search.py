@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
-from lexispark.session import with_global_rank
+from lexispark.session import settle, with_global_rank
 
 
 def search_tokens(tokens: DataFrame, query: str, query_norm: str, limit: int = 20) -> DataFrame:
@@ -23,31 +23,63 @@ def search_tokens(tokens: DataFrame, query: str, query_norm: str, limit: int = 2
     return one.orderBy(F.char_length("norm"), "token_id").limit(limit)
 
 
-def search_tokens_many(tokens: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """:func:`search_tokens` for many queries at once (query_id, query, query_norm).
+GRAM = 3        # characters of an index entry; shorter queries are looked up by all of their characters
 
-    Norms are reduced to distinct (norm, form, lemma) first. Of these only pieces as long as some query are made:
-    beginnings of the norm, all places in form and lemma. A query then meets its hits by equality.
+
+def _pieces(text: Column, size: Column | int) -> Column:
+    """All runs of ``size`` characters; none if the text is shorter."""
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.when(F.char_length(text) >= size, F.transform(
+        F.sequence(F.lit(1), F.char_length(text) - size + 1), lambda i: F.substring(text, i, size))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def search_index(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored (entries, postings) over the vocabulary of ``tokens`` (token_id, form, norm, lemma).
+
+    An entry is a distinct (norm, form, lemma) with its first token and its number of tokens, reduced in every task before
+    entries meet. Postings name, for each run of one to ``GRAM`` characters, the entries whose form or lemma holds it,
+    and for each beginning of a norm of up to so many characters the entries that begin with it. Both grow with the
+    vocabulary, not with the tokens, and are built once for any number of searches.
+    """
+    kinds = tokens.groupBy("norm", "form", "lemma").agg(F.min("token_id").alias("token_id"), F.count(F.lit(1)).alias("n"))
+    entries = settle(kinds.withColumn("entry", F.monotonically_increasing_id()))
+    sizes = range(1, GRAM + 1)
+    inside = F.array_distinct(F.flatten(F.array(*[
+        F.coalesce(_pieces(F.col(c), k), F.array().cast("array<string>")) for c in ("form", "lemma") for k in sizes])))
+    ahead = F.array_distinct(F.array(*[F.substring("norm", 1, k) for k in sizes]))
+    both = F.concat(F.transform(inside, lambda g: F.struct(F.lit(False).alias("begins"), g.alias("gram"))),
+                    F.transform(F.filter(ahead, lambda g: g != ""), lambda g: F.struct(F.lit(True).alias("begins"), g.alias("gram"))))
+    return entries, settle(entries.select("entry", F.inline(both)).repartitionByRange("gram").sortWithinPartitions("gram"))
+
+
+def search_tokens_many(index: tuple[DataFrame, DataFrame], queries: DataFrame, limit: int = 20) -> DataFrame:
+    """:func:`search_tokens` for many queries at once (query_id, query, query_norm) on a stored :func:`search_index`.
+
+    A query becomes its runs of ``GRAM`` characters, or itself if it is shorter; entries that are in the postings of all
+    of them are compared with the query. Empty queries find nothing. One row per query and norm: norm, its first token
+    among the hits, its number of tokens, and rank by length of the norm, then token.
     """
-    lengths = sorted(r[0] for r in queries.select(F.explode(F.array(
-        F.char_length("query"), F.char_length("query_norm"))).alias("n")).where("n > 0").distinct().collect())  # few numbers
-    counts = tokens.groupBy("norm").agg(F.count(F.lit(1)).alias("occurrences"))
-    kinds = tokens.groupBy("norm", "form", "lemma").agg(F.min("token_id").alias("token_id"))
-    every = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
-
-    def places(name: str) -> Column:
-        text = F.col(name)
-        return F.flatten(F.transform(F.filter(every, lambda n: n <= F.char_length(text)), lambda n: F.transform(
-            F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, n))))
-
-    begins = F.transform(F.filter(every, lambda n: n <= F.char_length("norm")), lambda n: F.substring(F.col("norm"), F.lit(1), n))
-    inside = kinds.select("norm", "token_id", F.explode(F.array_distinct(F.concat(places("form"), places("lemma")))).alias("query"))
-    ahead = kinds.select("norm", "token_id", F.explode(begins).alias("query_norm"))
-    hits = inside.join(queries.select("query_id", "query"), "query").select("query_id", "norm", "token_id").unionByName(
-        ahead.join(queries.select("query_id", "query_norm"), "query_norm").select("query_id", "norm", "token_id"))
-    one = hits.groupBy("query_id", "norm").agg(F.min("token_id").alias("token_id")).join(counts, "norm")
+    entries, postings = index
+    asked = settle(queries.select("query_id", "query", "query_norm"))
+    size = F.least(F.char_length("query"), F.lit(GRAM))
+    text = F.when(F.char_length("query") > 0, F.array_distinct(_pieces(F.col("query"), size)))
+    inside = asked.select("query_id", "query", F.size(text).alias("need"), F.explode(text).alias("gram"), F.lit(False).alias("begins"))
+    start = asked.where(F.char_length("query_norm") > 0).select(
+        "query_id", "query_norm", F.substring("query_norm", 1, GRAM).alias("gram"), F.lit(True).alias("begins"))
+    met = inside.join(postings, ["begins", "gram"]).groupBy("query_id", "query", "need", "entry").agg(
+        F.count(F.lit(1)).alias("have")).where("have = need")
+    found = entries.select("entry", "norm", "form", "lemma", "token_id")
+    holds = met.join(found, "entry").where(
+        tx.match_contains(F.col("query"), F.col("form"), F.col("lemma"))).select("query_id", "norm", "token_id")
+    opens = start.join(postings, ["begins", "gram"]).join(found, "entry").where(
+        tx.match_prefix(F.col("query_norm"), F.col("norm"))).select("query_id", "norm", "token_id")
+    one = holds.unionByName(opens).groupBy("query_id", "norm").agg(F.min("token_id").alias("token_id"))
     order = Window.partitionBy("query_id").orderBy(F.char_length("norm"), F.col("token_id"))
-    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    top = one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    # totals of the shown norms only
+    totals = entries.join(top.select("norm").distinct(), "norm", "left_semi").groupBy("norm").agg(F.sum("n").alias("occurrences"))
+    return top.join(totals, "norm")
 
 
 def search_items(counted: DataFrame, query: str, query_norm: str, limit: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import stats as st
 from lexispark.params import RAW, REDUCED
+from lexispark.session import with_group_rank
 
 _KEY = ["item_type", "item", "partner"]
 
@@ -101,12 +102,13 @@ def group_by_direction(view: DataFrame) -> DataFrame:
 def direction_lists(view: DataFrame) -> DataFrame:
     """Partners of each item, variant and direction in the order of the groups: strongest first, then byte order.
 
-    One row per partner with its place, so a common item's list is rows, never one value.
+    One row per partner with its place, so a common item's list is rows, never one value, and its order is found by a
+    range sort of all lists, never in one task.
     """
     order = F.when(F.col("direction") == "association", 1).when(F.col("direction") == "neutral", 2).otherwise(3)
     group = ["item_type", "variant", "item", "direction"]
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("g2"), F.asc("partner")))
-    return view.select(*group, order.alias("direction_rank"), "partner", "g2", place.alias("place"))
+    rows = view.select(*group, order.alias("direction_rank"), "partner", "g2")
+    return with_group_rank(rows, group, [F.desc("g2"), F.asc("partner")], "place")
 
 
 def variant_compare(table: DataFrame) -> DataFrame:

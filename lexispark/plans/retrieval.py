@@ -235,8 +235,9 @@ def preferred_language(spark, d):
 
 @query("unit_bundle", f"""
 WITH {SPANS}, {_PREFERRED},
-seg AS (SELECT token_id, count(*) AS n_segments FROM pieces GROUP BY token_id)
-SELECT u.unit_id, 'q' || quality AS label, p.source_id AS text_source, pos, form, 'gloss of ' || form AS gloss, coalesce(n_segments, 0) AS n_segments
+seg AS (SELECT token_id, string_agg(rule || ':' || seg_start || ':' || seg_end || ':' || is_start || ':' || is_end, ',' ORDER BY seg_start, seg_end, rule, group_id)
+  AS segments FROM pieces GROUP BY token_id)
+SELECT u.unit_id, 'q' || quality AS label, p.source_id AS text_source, pos, form, 'gloss of ' || form AS gloss, coalesce(segments, '') AS segments
 FROM units u LEFT JOIN labels l ON l.doc_id = u.doc_id AND toxic = 0 AND quality <> 0
 LEFT JOIN preferred p ON p.section = u.section LEFT JOIN toks t ON t.unit_id = u.unit_id LEFT JOIN seg USING (token_id)""")
 def unit_bundle(spark, d):
@@ -244,14 +245,16 @@ def unit_bundle(spark, d):
     tokens = spaced_tokens(units)
     kept = sp.guarded_annotations(annotations(units), units, tokens)
     segments = sp.segments_per_token(sp.project_spans(kept, sp.token_offsets(tokens)))
-    glosses = tokens.select("token_id", F.concat(F.lit("gloss of "), "form").alias("gloss"))
+    glosses = tokens.select("unit_id", "token_id", F.concat(F.lit("gloss of "), "form").alias("gloss"))
     per_unit = units.select("unit_id", "section", F.col("doc_id").alias("doc"))
     labels = per_unit.join(rt.current_labels(_labels(spark, d)).withColumnRenamed("unit_id", "doc"), "doc").select("unit_id", "label")
     texts = per_unit.join(preferred_language(spark, d), "section").select("unit_id", F.col("source_id").alias("text_source"))
     bundle = rt.unit_bundle(units.select("unit_id"), tokens, labels, texts, glosses, segments)
     rows = bundle.select("unit_id", "label", "text_source", F.inline_outer("tokens"))
+    shown = F.transform("segments", lambda s: F.concat_ws(
+        ":", s["rule"], s["seg_start"].cast("string"), s["seg_end"].cast("string"), s["is_start"].cast("string"), s["is_end"].cast("string")))
     return rows.select("unit_id", "label", "text_source", F.col("pos").cast("long").alias("pos"), "form", "gloss",
-                       F.coalesce(F.size("segments"), F.lit(0)).cast("long").alias("n_segments"))
+                       F.coalesce(F.array_join(shown, ","), F.lit("")).alias("segments"))
 
 
 @query("resolve_examples", r"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexispark.operators import retrieval as rt
 from lexispark.operators import search as se
 from lexispark.plans.registry import TOKENS, query
-from lexispark.sources.adapters import line_tokens, table
+from lexispark.sources.adapters import line_tokens, once, table
 
 
 def form_tokens(spark, d):
@@ -39,7 +39,8 @@ def search_tokens_many(spark, d):
     queries = nations.select(
         F.col("n_nationkey").alias("query_id"), F.concat(F.lower(F.right("r_name", F.lit(2))), F.lit(">")).alias("query"),
         F.lower(F.substring("r_name", 1, 2)).alias("query_norm"))
-    return se.search_tokens_many(form_tokens(spark, d), queries, 20).select(
+    index = once(spark, d, ("documents",), "search_index", lambda: se.search_index(form_tokens(spark, d)))
+    return se.search_tokens_many(index, queries, 20).select(
         "query_id", "norm", "token_id.unit_id", "token_id.pos", "occurrences", "rank")
 
 

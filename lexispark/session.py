@@ -102,6 +102,18 @@ def with_global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataF
     )
 
 
+def with_group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Add a 1-based rank within each group, without sorting a group, however large, in one task.
+
+    It is the rank over all rows, ordered by group first, less that of the group's first row.
+    """
+    ranked = settle(with_global_rank(df, [*[F.col(c).asc_nulls_first() for c in by], *order], "_rank"))
+    group = F.struct(*[F.col(c) for c in by])
+    firsts = ranked.groupBy(group.alias("_group")).agg(F.min("_rank").alias("_first"))
+    return ranked.join(firsts, group == F.col("_group")).withColumn(
+        name, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first", "_group")
+
+
 def with_place(df: DataFrame, name: str) -> DataFrame:
     """Add the 1-based place of each row in the order in which ``df`` was written or, if it is no stored table, stands.
 

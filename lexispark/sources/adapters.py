@@ -44,25 +44,30 @@ def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, ("documents",), "line_offsets", build)
 
 
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """unit_id, doc_id, section, text of the non-empty document lines, written once for all queries.
+
+    The numbers of the lines need each document's number of lines before it, so texts meet these offsets by document
+    once, when this table is made; whoever reads lines afterwards scans it without an exchange.
+    """
+    def build() -> DataFrame:
+        docs = table(spark, sf_dir, "documents", "doc_id", "source", "text").join(line_offsets(spark, sf_dir), "doc_id")
+        lines = docs.select("doc_id", "source", "before", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+        return settle(lines.where(F.trim("text") != "").select(
+            (F.col("before") + F.col("i") + 1).alias("unit_id"), "doc_id", F.col("source").alias("section"), "text"))
+
+    return once(spark, sf_dir, ("documents",), "lines", build)
+
+
 def line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-empty document lines: unit_id, doc_id, section, text, text_norm, words.
 
     Lines are numbered through all documents in the order of their ids, so neither the number of lines of a document
     nor the size of its id is bounded by the form of a unit id.
     """
-    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text").join(line_offsets(spark, sf_dir), "doc_id")
-    lines = docs.select("doc_id", "source", "before", F.posexplode(F.split("text", "\n")).alias("i", "text"))
-    return (
-        lines.where(F.trim("text") != "")
-        .select(
-            (F.col("before") + F.col("i") + 1).alias("unit_id"),
-            "doc_id",
-            F.col("source").alias("section"),
-            "text",
-            F.trim(F.lower("text")).alias("text_norm"),
-            tx.tokens_of(F.lower("text")).alias("words"),
-        )
-    )
+    return stored_lines(spark, sf_dir).select(
+        "unit_id", "doc_id", "section", "text", F.trim(F.lower("text")).alias("text_norm"),
+        tx.tokens_of(F.lower("text")).alias("words"))
 
 
 def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

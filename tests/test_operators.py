@@ -487,6 +487,53 @@ def test_layers_of_many_items(spark):
                      "z": [(1, 1, [4]), (2, 0, []), (3, 1, [1])], "none": [(1, 0, []), (2, 0, []), (3, 0, [])]}
 
 
+def test_search_from_an_index(spark):
+    rng = random.Random(8)
+    letters = "abcé"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    data = [(i, word(rng.randint(0, 7)), word(rng.randint(1, 5)), word(rng.randint(0, 6)) or None) for i in range(400)]
+    tokens = spark.createDataFrame(data + [(400, None, "abc", None), (401, "", "", "")],
+                                   "token_id long, form string, norm string, lemma string")
+    asked = [(i, word(rng.randint(0, 5)), word(rng.randint(0, 4))) for i in range(40)] + [(40, "zz", "zz"), (41, "aaaaaaa", ""), (42, None, "a"), (43, "ab", None)]
+    queries = spark.createDataFrame(asked, "query_id long, query string, query_norm string")
+    got = {}
+    for r in se.search_tokens_many(se.search_index(tokens), queries, 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.norm, r.token_id, r.occurrences))
+    every = [tuple(r) for r in tokens.collect()]
+    for i, q, qn in asked:
+        first = {}
+        for token, form, norm, lemma in every:
+            if (q and (q in (form or "") or q in (lemma or ""))) or (qn and norm.startswith(qn)):
+                first[norm] = min(first.get(norm, token), token)
+        best = sorted(first.items(), key=lambda x: (len(x[0]), x[1]))[:5]
+        want = [(k, norm, t, sum(e[2] == norm for e in every)) for k, (norm, t) in enumerate(best, 1)]
+        assert sorted(got.get(i, [])) == want, (i, q, qn)
+
+
+def test_ranks_within_groups(spark):
+    from lexispark.session import with_group_rank
+    data = [(g, v) for g in ("a", "b", None) for v in (3, 1, 2, 2)] + [("c", None)]
+    df = spark.createDataFrame(data, "g string, v int").repartition(3)
+    got = rows(with_group_rank(df, ["g"], [F.desc("v")], "place"), "g", "v", "place")
+    assert got == rows(spark.createDataFrame([(g, v, p) for g in ("a", "b", None) for p, v in enumerate((3, 2, 2, 1), 1)] + [("c", None, 1)],
+                                             "g string, v int, place long"))
+
+
+def test_bundles_move_tokens_once(spark):
+    units = spark.createDataFrame([(1,), (2,), (3,)], "unit_id long")
+    tokens = spark.createDataFrame([(1, 11, 1, "b"), (1, 12, 0, "a"), (2, 21, 0, "c")], "unit_id long, token_id long, pos int, form string")
+    glosses = spark.createDataFrame([(1, 12, "of a"), (1, 99, "of nobody")], "unit_id long, token_id long, gloss string")
+    segments = spark.createDataFrame([(2, 21, [("r", 0)])], "unit_id long, token_id long, segments array<struct<rule:string,start:int>>")
+    labels = spark.createDataFrame([(1, "l")], "unit_id long, label string")
+    texts = spark.createDataFrame([(3, "t")], "unit_id long, text string")
+    got = rt.unit_bundle(units, tokens, labels, texts, glosses, segments)
+    plain = {r.unit_id: (r.label, r.text, [tuple(t) for t in r.tokens or []]) for r in got.collect()}
+    assert plain == {1: ("l", None, [(0, 12, "a", "of a", None), (1, 11, "b", None, None)]),
+                     2: (None, None, [(0, 21, "c", None, [("r", 0)])]), 3: (None, "t", [])}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+
+
 def test_lines_are_numbered_without_bounds(spark, tmp_path):
     """More lines than 2**20 in one document, and document ids near the end of a long."""
     from lexispark.sources.adapters import line_units
