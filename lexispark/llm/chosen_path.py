@@ -1,15 +1,17 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
 Equal shingle sets fall together first; what follows works on one representative per set. In each of ``trees``
-independent trees a document goes down ``BRANCH`` branches per node. A branch is selected minwise: the node's own hash
-function orders the document's tokens, and the smallest one names the child. Documents of similarity s therefore stay
-together on a branch with probability s, whatever else the node holds. With two branches and s = 0.8 a tree misses a
-pair with probability at most 0.063, six trees with less than 1e-7.
+independent trees a document goes down ``BRANCH`` branches per node. A branch is selected minwise over the whole set:
+every tree has hash functions of its own for every level, each orders the document's tokens, and the smallest one names
+the child together with the node. Documents of similarity s therefore stay together on a branch with probability s,
+whatever else the node holds and however unequal the lengths are.
 
 Small nodes are compared exhaustively. Nodes that stay large branch again. Where a child keeps most of its parent, the
-node is one mass of near copies that branching cannot thin out: it is compared exhaustively too, cut into blocks, every
-pair of blocks in its own task, reporting only a spanning forest of the links found, so neither a task nor the output
-grows with the square of the node. All links are confirmed on full shingle sets. Groups are connected components.
+node is one mass of near copies that branching cannot thin out. Its documents are dealt into blocks and compared inside
+their block, tree after tree; components are settled after each, and a mass that is one component by then is finished. In
+what is left, the largest component needs no comparison with itself: its blocks meet only the documents outside it, and
+those meet one another. So the work in a mass that really is one group grows with its size, while no pair of different components
+goes without comparison. All links are confirmed on full shingle sets. Groups are connected components.
 """
 
 from __future__ import annotations
@@ -28,12 +30,11 @@ from lexispark.session import settle
 
 TREES = 6
 BRANCH = 2
-SKETCH = 128        # smallest set hashes kept per document, for branching below the root
 SMALL = 24          # a node of at most so many documents is compared in one piece
 DENSE = 0.5         # share of its parent from which a large node counts as one mass
-BLOCK = 1024        # documents of a block of such a mass, at most
-BLOCK_TOKENS = 1 << 19      # about as many shingles are in a block, whatever the documents' lengths
-DEPTH = 12          # levels after which a large node is compared in blocks, whatever its share
+BLOCK = 512         # documents of a block of such a mass, at most
+BLOCK_TOKENS = 1 << 18      # about as many shingles are in a block, whatever the documents' lengths
+DEPTH = 8           # levels after which a large node is compared in blocks, whatever its share
 
 _ROW, _TEXT = "__near_row", "__near_text"
 _FIELD = 5          # bits of a root minimum kept for the quick test of a pair
@@ -67,8 +68,17 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
+def _minima(hashes: np.ndarray, lows: np.ndarray, which: int) -> np.ndarray:
+    """Smallest value of each set under one of many hash functions."""
+    salt = 0x9E3779B97F4A7C15 * (which + 1) & (2**64 - 1)
+    odd = np.uint64((0xD6E8FEB86659FD93 + 2 * salt) & (2**64 - 1) | 1)
+    return np.minimum.reduceat((hashes ^ np.uint64(salt)) * odd, lows)
+
+
 def _describe(width: int, trees: int):
-    """Per text: set size, a 128-bit name of the set, the sketch, the minima at the roots."""
+    """Per text: set size, a 128-bit name of the set, the minima at the roots, and those for the levels below."""
+    below = trees * BRANCH * DEPTH
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, _TEXT):
             hashes, bounds = shingle_sets(batch, width)
@@ -76,23 +86,22 @@ def _describe(width: int, trees: int):
             full = np.flatnonzero(sizes)
             lows = bounds[:-1][full]
             roots = np.zeros((len(sizes), trees * BRANCH), np.uint64)
+            levels = np.zeros((len(sizes), below), np.int32)
             names = np.zeros((2, len(sizes)), np.uint64)
             if len(full):
                 for i in range(trees * BRANCH):
-                    odd = np.uint64((0xD6E8FEB86659FD93 + 2 * i * 0x9E3779B97F4A7C15) & (2**64 - 1) | 1)
-                    roots[full, i] = np.minimum.reduceat((hashes ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1))) * odd, lows)
+                    roots[full, i] = _minima(hashes, lows, i)
+                for i in range(below):
+                    least = _minima(hashes, lows, trees * BRANCH + i)
+                    levels[full, i] = (least ^ (least >> np.uint64(32))).astype(np.uint32).view(np.int32)
                 names[0, full] = np.add.reduceat(mix(hashes, 1), lows)
                 names[1, full] = np.add.reduceat(mix(hashes, 2), lows)
-            take = np.minimum(sizes, SKETCH)
-            ends = np.concatenate(([0], np.cumsum(take)))
-            sketch = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            picked = np.repeat(bounds[:-1] - ends[:-1], take) + np.arange(int(ends[-1]))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes.astype(np.int64)),
                 pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)),
-                _lists(sketch[picked], ends),
+                _lists(levels.ravel(), np.arange(len(sizes) + 1) * below),
                 _lists(roots.view(np.int64).ravel(), np.arange(len(sizes) + 1) * trees * BRANCH),
-            ], ["row", "n", "name_a", "name_b", "sketch", "roots"])
+            ], ["row", "n", "name_a", "name_b", "levels", "roots"])
     return run
 
 
@@ -104,7 +113,7 @@ def _sets(width: int):
     return run
 
 
-def _agreeing(trees: int, percent: int, risk: float = 1e-5) -> int:
+def _agreeing(trees: int, percent: int, risk: float = 1e-9) -> int:
     """The most root minima that a pair of just enough similarity shares with probability 1 - ``risk``."""
     count, share = trees * BRANCH, percent / 100
     below, least = 0.0, 0
@@ -126,13 +135,19 @@ def _quick(trees: int) -> Column:
     return same
 
 
+def _level(depth: int, trees: int) -> Column:
+    """The minima that decide ``depth`` levels below the roots, tree by tree."""
+    places = [t * BRANCH * DEPTH + BRANCH * (depth - 1) + j for t in range(trees) for j in range(BRANCH)]
+    return F.array(*[F.col("levels")[p] for p in places])
+
+
 def _chosen(branch: int) -> Column:
-    """The child on one branch of a node: the smallest of the document's tokens under the node's hash function."""
-    return F.array_min(F.transform("sketch", lambda token: F.xxhash64(token, F.col("node"), F.lit(branch))))
+    """The child on one branch of a node."""
+    return F.xxhash64(F.col("level")[F.col("tree") * BRANCH + branch], F.col("node"), F.lit(branch))
 
 
 def _forest(percent: int):
-    """Confirmed links between two blocks of one node, as a spanning forest."""
+    """Confirmed links between the documents of a cell that are not in one component yet, as a spanning forest."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
         count = len(pdf)
@@ -155,7 +170,9 @@ def _forest(percent: int):
             low = high
         common = shared.astype(np.int64)
         linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-        parent = list(range(count))
+        _, first, of = np.unique(pdf["component"].to_numpy(), return_index=True, return_inverse=True)
+        parent = first[of].tolist()
+        linked &= of[:, None] != of[None, :]
 
         def top(i: int) -> int:
             while parent[i] != i:
@@ -209,6 +226,76 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * common >= percent * (F.size("tokens_a") + F.size("tokens_b") - common)).select("a", "b")
 
 
+def _in_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links found inside cells; ``cells`` has node, i, j, rep, n and component."""
+    return cells.join(sets, "rep").groupBy("node", "i", "j").applyInPandas(_forest(percent), "a long, b long")
+
+
+def _blocks(count: Column, weight: Column) -> Column:
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(weight / BLOCK_TOKENS), F.lit(1)).cast("int")
+
+
+def _dealt(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node", "rep"), blocks).cast("int")
+
+
+def _every(blocks: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), blocks - 1))
+
+
+def _joined(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after links found later."""
+    edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return settle(components(settle(edges.unionByName(more))))
+
+
+def _unfinished(mass: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents of the masses with their components, and the masses that have more than one, with the largest of each."""
+    held = settle(mass.select("node", "rep", "n").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "node", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    shares = held.groupBy("node", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    return held, settle(shares.groupBy("node").agg(
+        F.max(F.struct("size", "weight", "component")).alias("main"), F.count(F.lit(1)).alias("parts"),
+        F.sum("size").alias("size"), F.sum("weight").alias("weight")).where("parts > 1"))
+
+
+def _mass_groups(mass: DataFrame, sets: DataFrame, links: DataFrame, percent: int, trees: int) -> DataFrame:
+    """Components over ``links`` and all links inside the masses (node, tree, size, weight, rep, n).
+
+    Tree after tree, every document of a mass that is not one component yet is compared with its own block of it. That
+    finishes masses of one block. Of the others, only documents outside a mass's largest component then still ask for
+    comparison, with that component's blocks and with one another.
+    """
+    columns = ["node", "i", "j", "rep", "n", "component"]
+    groups = settle(components(settle(links.distinct())))
+    for tree in range(trees):
+        held, main = _unfinished(mass.where(F.col("tree") == tree), groups)
+        dealt = held.join(main.select("node", _blocks(F.col("size"), F.col("weight")).alias("blocks")), "node")
+        cells = dealt.select("*", _dealt(F.col("blocks")).alias("i"), F.lit(0).alias("j")).select(*columns)
+        more = settle(_in_cells(cells, sets, percent).distinct())
+        if not more.isEmpty():
+            groups = _joined(groups, more)
+
+    held, main = _unfinished(mass.where(_blocks(F.col("size"), F.col("weight")) > 1), groups)
+    if main.isEmpty():
+        return groups
+    left = settle(held.join(main.select(
+        "node", F.col("main.component").alias("largest"), _blocks(F.col("main.size"), F.col("main.weight")).alias("inside"),
+        _blocks(F.col("size") - F.col("main.size"), F.col("weight") - F.col("main.weight")).alias("outside")), "node"))
+    member = F.col("component") == F.col("largest")
+    outer = left.where(~member).withColumn("own", _dealt(F.col("outside")))
+    # negative j: a block of the largest component and a block of the others
+    inner = left.where(member).select("*", _dealt(F.col("inside")).alias("i"), _every(F.col("outside")).alias("k"))
+    across = inner.withColumn("j", -F.col("k") - 1).select(*columns).unionByName(
+        outer.select("*", _every(F.col("inside")).alias("i")).withColumn("j", -F.col("own") - 1).select(*columns))
+    mates = outer.select("*", _every(F.col("outside")).alias("mate"))
+    # a block of its own pairs with every other; alone it has no cell of its own, unless it is the only one
+    mates = mates.where((F.col("own") != F.col("mate")) | (F.col("own") == 0)).select(
+        "node", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "rep", "n", "component")
+    more = settle(_in_cells(across.unionByName(mates), sets, percent).distinct())
+    return groups if more.isEmpty() else _joined(groups, more)
+
+
 def near_groups(
     docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80, trees: int = TREES,
     one_each: bool = False
@@ -228,10 +315,10 @@ def near_groups(
     source = keyed.select(F.col(_ROW), F.col(text).alias(_TEXT))
     described = settle(
         source.mapInArrow(_describe(width, trees),
-                          "row long, n long, name_a long, name_b long, sketch array<int>, roots array<long>"))
-    # one representative per set; the sketch goes through the shuffle once per set and task
+                          "row long, n long, name_a long, name_b long, levels array<int>, roots array<long>"))
+    # one representative per set; its minima go through the shuffle once per set and task
     reps = settle(described.where("n > 0").groupBy("name_a", "name_b").agg(
-        F.min("row").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+        F.min("row").alias("rep"), F.first("n").alias("n"), F.first("levels").alias("levels"),
         F.first("roots").alias("roots")))
     code = F.lit(0).cast("long")
     for i in range(trees * BRANCH):
@@ -239,8 +326,8 @@ def near_groups(
             F.shiftrightunsigned(F.col("roots")[i], 7).bitwiseAND(F.lit((1 << _FIELD) - 1).cast("long")), i * _FIELD))
     coded = reps.withColumn("code", code)
     rows = coded.select("rep", "n", "code", F.posexplode("roots").alias("branch", "at")).select(
-        F.xxhash64("branch", "at").alias("node"), F.lit(None).cast("long").alias("above"), "rep", "n", "code")
-    sketches = reps.select("rep", "sketch")
+        F.xxhash64("branch", "at").alias("node"), F.floor(F.col("branch") / BRANCH).cast("int").alias("tree"),
+        F.lit(None).cast("long").alias("above"), "rep", "n", "code")
     pieces, masses = [], []
     for depth in range(DEPTH + 1):
         sizes = rows.groupBy("node").agg(
@@ -250,13 +337,13 @@ def near_groups(
         large = placed.where(F.col("size") > SMALL)
         mass = (F.col("size") > DENSE * F.col("above")) if depth < DEPTH else F.lit(True)
         mass = F.coalesce(mass, F.lit(False))
-        masses.append(large.where(mass).select("node", "size", "weight", "rep", "n"))
+        masses.append(large.where(mass).select("node", "tree", "size", "weight", "rep", "n"))
         open_ = large.where(~mass)
         if open_.isEmpty():
             break
         chosen = [_chosen(j) for j in range(BRANCH)]
-        rows = open_.join(sketches, "rep").select(
-            F.explode(F.array_distinct(F.array(*chosen))).alias("node"), F.col("size").alias("above"), "rep", "n", "code")
+        rows = open_.join(reps.select("rep", _level(depth + 1, trees).alias("level")), "rep").select(
+            F.explode(F.array_distinct(F.array(*chosen))).alias("node"), "tree", F.col("size").alias("above"), "rep", "n", "code")
 
     small = pieces[0]
     for piece in pieces[1:]:
@@ -275,16 +362,10 @@ def near_groups(
     texts = source.withColumnRenamed(_ROW, "rep").join(wanted.hint("merge"), "rep")
     sets = settle(texts.mapInArrow(_sets(width), "rep long, tokens array<long>").dropDuplicates(["rep"]))
     links = _confirmed(pairs, sets, percent)
-    if not mass.isEmpty():
-        blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_TOKENS)).cast("int")
-        dealt = mass.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        dealt = dealt.select("node", "rep", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate"))
-        # a block of its own pairs with every other; alone it has no task of its own, unless it is the only one
-        dealt = dealt.where((F.col("own") != F.col("mate")) | (F.col("own") == 0)).select(
-            "node", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "rep", "n")
-        links = links.unionByName(
-            dealt.join(sets, "rep").groupBy("node", "i", "j").applyInPandas(_forest(percent), "a long, b long"))
-    groups = components(settle(links.distinct()))
+    if mass.isEmpty():
+        groups = components(settle(links.distinct()))
+    else:
+        groups = _mass_groups(mass, sets, links, percent, trees)
 
     named = described.select("row", "n", "name_a", "name_b").join(
         reps.select("name_a", "name_b", "rep"), ["name_a", "name_b"], "left").select("row", "n", "rep").distinct()
