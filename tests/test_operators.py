@@ -275,6 +275,35 @@ def test_fuzzy_leaks_against_brute_force(spark):
     assert len(want) > 5 and got == want
 
 
+def test_fuzzy_leaks_in_small_cells(spark, monkeypatch):
+    """The same with cells, steps and batches so small that every kind of seam is met, and texts longer than a step."""
+    import sys
+
+    rng = random.Random(3)
+    letters = "abcdef gé"
+    passages = {i: "".join(rng.choice(letters) for _ in range(rng.randint(15, 60))).strip() + "xyz" for i in range(20)}
+    outputs = {}
+    for i in range(40):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 150)))
+        for _ in range(3):
+            s = list(passages[rng.randrange(20)])
+            for _ in range(rng.randint(0, len(s) // 8)):
+                at = rng.randrange(len(s))
+                s[at] = rng.choice(["", rng.choice(letters), s[at] + rng.choice(letters)])
+            text += "".join(s) + "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        outputs[i] = text
+    o, p = texts(spark, {**outputs, 100: None, 101: ""}, "output_id"), texts(spark, passages, "passage_id")
+    exact = au.leak_exact(o, p)
+    want = brute_fuzzy(outputs, passages, {tuple(r) for r in exact.collect()})
+    monkeypatch.setattr(au, "CELL_BYTES", 700)
+    monkeypatch.setattr(au, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(au, "_STEP", 37)
+    monkeypatch.setattr(au, "_HITS", 50)
+    got = {(r.output_id, r.passage_id): r.similarity for r in au.leak_fuzzy(o, p, exact).collect()}
+    assert len(want) > 10 and got == want
+    assert au.leak_fuzzy(o.where("false"), p, exact).count() == au.leak_fuzzy(o, p.where("false"), exact).count() == 0
+
+
 def test_window_phase_matters(spark):
     passage = "the quick brown fox jumps over the lazy dog near the old river bank at dawn today"
     altered = passage.replace("river", "water")
