@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from lexispark.llm.target_ratio import let
 from lexispark.session import settle, with_global_rank
 
-SIZE = 8                                    # cells of a part of the stored fingerprint
-SIZES = (SIZE, 32, 128, 512, 2048, 8192)    # tried one after the other
-ROUNDS = 40                                 # peeling rounds, far above what a table that can be peeled needs
+SIZE = 8            # cells of a part of the smallest table
+TRIES = 12          # sizes tried from the first that could do, each twice (for differences four times) the one before
+ROUNDS = 40         # peeling rounds, far above what a table that can be peeled needs
 
 _KEYS = "array<bigint>"
 
@@ -81,10 +81,25 @@ def peel(cells: Column, size: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
-def difference(mine: Column, theirs: Column, sizes: tuple[int, ...] = SIZES) -> Column:
-    """(mine, theirs, size): digests that only one text has, and the table size that gave them (null: compared directly)."""
+def _steps(count: Column, base: int) -> Column:
+    """Exponents of ``TRIES`` growing sizes ``SIZE`` * ``base`` ** j, the first with at least ``count`` cells."""
+    first = F.greatest(F.ceil(F.log(float(base), F.greatest(count, F.lit(1)) / (3.0 * SIZE)) - 1e-9), F.lit(0)).cast("int")
+    return F.sequence(first, first + TRIES - 1)
+
+
+def _sized(step: Column, base: int) -> Column:
+    return F.round(F.lit(SIZE) * F.pow(F.lit(float(base)), step.cast("double"))).cast("long")
+
+
+def difference(mine: Column, theirs: Column, sizes: tuple[int, ...] | None = None) -> Column:
+    """(mine, theirs, size): digests that only one text has, and the table size that gave them.
+
+    Sizes grow from the least that the numbers of digests allow until peeling ends. With ``sizes`` only those are tried;
+    if none of the sizes does (which without ``sizes`` takes digests that share all cells of ever larger tables), size is
+    null and the digests are compared directly.
+    """
     start = F.struct(F.lit(None).cast(_KEYS).alias("mine"), F.lit(None).cast(_KEYS).alias("theirs"),
-                     F.lit(None).cast("int").alias("size"))
+                     F.lit(None).cast("long").alias("size"))
 
     def attempt(state: Column, size: Column) -> Column:
         peeled = peel(subtract(table(mine, size), table(theirs, size)), size)
@@ -92,8 +107,10 @@ def difference(mine: Column, theirs: Column, sizes: tuple[int, ...] = SIZES) ->
             F.size(p["cells"]) == 0, F.struct(p["mine"].alias("mine"), p["theirs"].alias("theirs"), size.alias("size")))
             .otherwise(state)))
 
-    tried = F.aggregate(F.array(*[F.lit(s) for s in sizes]), start, attempt)
-    return let(tried, lambda t: F.when(t["size"].isNotNull(), t).otherwise(F.struct(
+    least = F.abs(F.size(mine) - F.size(theirs))        # at least so many digests differ
+    tried = F.array(*[F.lit(s).cast("long") for s in sizes]) if sizes else F.transform(_steps(least, 4), lambda j: _sized(j, 4))
+    found = F.aggregate(tried, start, attempt)
+    return let(found, lambda t: F.when(t["size"].isNotNull(), t).otherwise(F.struct(
         F.array_except(mine, theirs).alias("mine"), F.array_except(theirs, mine).alias("theirs"), t["size"].alias("size"))))
 
 
@@ -104,11 +121,26 @@ def likeness(keys: Column, diff: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(shared / both)
 
 
-def fingerprint(keys: Column, size: int = SIZE) -> Column:
-    """The stored table as text: number of paragraphs, then cell, count and XORs of every non-empty cell."""
-    return F.concat(F.size(keys).cast("string"), F.lit("/"), F.array_join(F.transform(table(keys, F.lit(size)), lambda x: F.concat(
-        x["cell"].cast("string"), F.lit(":"), x["n"].cast("string"), F.lit(":"), F.lower(F.hex(x["k"])),
-        F.lit(":"), F.lower(F.hex(x["c"])))), ";"))
+def own_table(keys: Column) -> Column:
+    """(size, cells) of the smallest table of a text that gives away all of its digests."""
+    cell = "array<struct<cell:bigint,n:bigint,k:bigint,c:bigint>>"
+    start = F.struct(F.lit(None).cast("long").alias("size"), F.lit(None).cast(cell).alias("cells"))
+
+    def attempt(state: Column, step: Column) -> Column:
+        return F.when(state["size"].isNotNull(), state).otherwise(let(_sized(step, 2), lambda size: let(
+            table(keys, size), lambda cells: F.when(
+                F.size(peel(cells, size)["cells"]) == 0, F.struct(size.alias("size"), cells.alias("cells"))).otherwise(state))))
+
+    return F.aggregate(_steps(F.size(keys), 2), start, attempt)
+
+
+def fingerprint(keys: Column) -> Column:
+    """The stored table as text: number of paragraphs, size, then cell, count and XORs of every non-empty cell."""
+    return let(own_table(keys), lambda t: F.concat(
+        F.size(keys).cast("string"), F.lit("/"), t["size"].cast("string"), F.lit("/"),
+        F.array_join(F.transform(t["cells"], lambda x: F.concat(
+            x["cell"].cast("string"), F.lit(":"), x["n"].cast("string"), F.lit(":"), F.lower(F.hex(x["k"])),
+            F.lit(":"), F.lower(F.hex(x["c"])))), ";")))
 
 
 def next_in_order(heads: DataFrame) -> DataFrame:
