@@ -13,24 +13,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexispark.session import settle, with_global_rank
 
 BLOCK = 16
 FRAME = 1024
+MOST_SOURCES = 2048     # sources whose slots one task decides
 
 
 def quanta(counts: DataFrame, frame: int = FRAME, power: float = 0.5) -> DataFrame:
     """(source, quanta): slots of a frame per source, in proportion to n ** power, one at least, ``frame`` in sum.
 
-    Largest remainders get the slots that rounding leaves over; of equal remainders the smaller source. ``counts`` has
+    With a column ``weight`` in ``counts`` the slots are in proportion to that instead. Largest remainders get the slots that rounding leaves over; of equal remainders the smaller source. ``counts`` has
     one row per source, ``frame`` at most, so they may meet in one row.
     """
+    weight = F.col("weight").cast("double") if "weight" in counts.columns else F.pow("n", F.lit(power))
     listed = counts.agg(F.sort_array(F.collect_list(F.struct(
-        F.col("source").isNull().alias("none"), "source", "n"))).alias("all"))
-    total = F.aggregate("all", F.lit(0.0), lambda sum_, s: sum_ + F.pow(s["n"], F.lit(power)))
+        F.col("source").isNull().alias("none"), "source", weight.alias("w")))).alias("all"))
+    total = F.aggregate("all", F.lit(0.0), lambda sum_, s: sum_ + s["w"])
     shared = listed.withColumn("share", F.transform("all", lambda s: (
-        (F.lit(frame) - F.size("all")) * F.pow(s["n"], F.lit(power)) / total))).withColumn(
+        (F.lit(frame) - F.size("all")) * s["w"] / total))).withColumn(
         "left", F.lit(frame) - F.size("all") - F.aggregate("share", F.lit(0).cast("long"), lambda sum_, x: sum_ + F.floor(x)))
     order = shared.withColumn("order", F.array_sort(F.transform("share", lambda x, i: F.struct(
         F.round(F.floor(x) - x, 9).alias("r"), i.alias("i")))))
@@ -40,6 +43,21 @@ def quanta(counts: DataFrame, frame: int = FRAME, power: float = 0.5) -> DataFra
         .cast("int").alias("quanta"))
 
 
+def _weighted(counts: DataFrame, weights: DataFrame | dict) -> DataFrame:
+    """``counts`` with the weight of every source; a source without exactly one positive weight raises ValueError."""
+    if isinstance(weights, dict):
+        kind = counts.schema["source"].dataType
+        fields = T.StructType([T.StructField("source", kind), T.StructField("weight", T.DoubleType())])
+        weights = counts.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], fields)
+    given = weights.groupBy(F.col("source").alias("s")).agg(F.min("weight").alias("weight"), F.count(F.lit(1)).alias("times"))
+    joined = settle(counts.join(given, counts["source"].eqNullSafe(F.col("s")), "left").select("source", "n", "weight", "times"))
+    finite = (F.col("weight") > 0) & (F.col("weight") < float("inf")) & (F.col("times") == 1)
+    bad = joined.where(~F.coalesce(finite, F.lit(False))).count()
+    if bad:
+        raise ValueError(f"{bad} sources without one positive weight")
+    return joined.select("source", "n", "weight")
+
+
 def frame_pattern(weights: DataFrame, frame: int = FRAME) -> DataFrame:
     """(source, turn, slot): the slot in a frame at which each source's turn-th block of the frame comes.
 
@@ -68,12 +86,14 @@ def frame_pattern(weights: DataFrame, frame: int = FRAME) -> DataFrame:
 
 def mix_sources(
     docs: DataFrame, source: str = "source", key: str = "doc_id", block: int = BLOCK, frame: int = FRAME,
-    power: float = 0.5
+    power: float = 0.5, weights: DataFrame | dict | None = None
 ) -> DataFrame:
     """One row ``(key, source, block, slot, position)`` per row of ``docs``; position counts from 1 in mixed order.
 
     Rows of a source are ordered by the md5 of their key, then the key, and cut into blocks of ``block``. Targets are in
-    proportion to (rows of the source) ** power. A null source is a source of its own, null keys and repeated rows are
+    proportion to ``weights`` (source, weight), or else to (rows of the source) ** power. Every source of ``docs`` then needs
+    one positive weight; others are not looked at. A frame has a slot per weight's share, so more than ``MOST_SOURCES``
+    sources are refused: one task decides a frame. A null source is a source of its own, null keys and repeated rows are
     placed like others, an empty table gives an empty table; only the two named columns are read.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.md5(F.col(key).cast("string")).alias("__o"))
@@ -81,8 +101,14 @@ def mix_sources(
     ranked = settle(with_global_rank(
         rows, [F.col("source").asc_nulls_first(), F.col("__o"), F.col("key")], "rank").drop("__o"))
     counts = settle(ranked.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")))
-    frame = max(frame, 2 * counts.count())
-    weights = settle(quanta(counts.select("source", "n"), frame, power))
+    n_sources = counts.count()
+    if n_sources > MOST_SOURCES:
+        raise ValueError(f"{n_sources} sources: group them into {MOST_SOURCES} or fewer")
+    frame = max(frame, 2 * n_sources)       # a source has one slot at least
+    sized = counts.select("source", "n")
+    if weights is not None:
+        sized = _weighted(sized, weights)
+    weights = settle(quanta(sized, frame, power))
     # both are bounded: a row per source, and a row per slot of a frame
     sources = weights.join(counts, weights["source"].eqNullSafe(counts["source"])).select(
         counts["source"].alias("s"), "first", "quanta")
