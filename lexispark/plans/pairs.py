@@ -105,9 +105,12 @@ def expected_pmi_g2(spark, d):
         F.round("g2", 5).alias("g2"))
 
 
-@query("hypergeom_sf", f"WITH {bd.BASKET_COLL} SELECT variant, item_type, item_a, item_b, round(p, 6) AS p FROM coll")
+@query("hypergeom_sf", f"""
+WITH {bd.BASKET_COLL} SELECT variant, item_type, item_a, item_b, round(p, 6) AS p, CASE WHEN p < 0.001 THEN round(log10(p), 5) END AS log10_p FROM coll""")
 def hypergeom_sf(spark, d):
-    return bd.basket_table(spark, d).select("variant", "item_type", "item_a", "item_b", F.round("p", 6).alias("p"))
+    """Rounded, and small ones as logarithms, which tell them apart."""
+    return bd.basket_table(spark, d).select(
+        "variant", "item_type", "item_a", "item_b", F.round("p", 6).alias("p"), F.when(F.col("p") < 0.001, F.round(F.log10("p"), 5)).alias("log10_p"))
 
 
 @query("bh_fdr", f"WITH {bd.BASKET_COLL} SELECT variant, item_type, item_a, item_b, in_family, fdr_significant FROM coll")
