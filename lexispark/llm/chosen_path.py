@@ -8,7 +8,7 @@ whatever else the node holds and however unequal the lengths are.
 
 Small nodes are compared exhaustively. Nodes that stay large branch again. Where a child keeps most of its parent, the
 node is one mass of near copies that branching cannot thin out. Its documents are dealt into blocks and compared inside
-their block, tree after tree; components are settled after each, and a mass that is one component by then is finished. In
+their block, first in one tree, then in the others; components are settled after each, and a mass that is one component by then is finished. In
 what is left, the largest component needs no comparison with itself: its blocks meet only the documents outside it, and
 those meet one another. So the work in a mass that really is one group grows with its size, while no pair of different components
 goes without comparison. All links are confirmed on full shingle sets. Groups are connected components.
@@ -227,8 +227,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _in_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links found inside cells; ``cells`` has node, i, j, rep, n and component."""
-    return cells.join(sets, "rep").groupBy("node", "i", "j").applyInPandas(_forest(percent), "a long, b long")
+    """Links found inside cells; ``cells`` has node, i, j, rep, n and component.
+
+    They are stored, so that the join knows their size: a few cells go to the sets, and sets do not move for them.
+    """
+    return settle(cells).join(sets, "rep").groupBy("node", "i", "j").applyInPandas(_forest(percent), "a long, b long")
 
 
 def _blocks(count: Column, weight: Column) -> Column:
@@ -259,17 +262,19 @@ def _unfinished(mass: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFram
         F.sum("size").alias("size"), F.sum("weight").alias("weight")).where("parts > 1"))
 
 
-def _mass_groups(mass: DataFrame, sets: DataFrame, links: DataFrame, percent: int, trees: int) -> DataFrame:
+def _mass_groups(mass: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Components over ``links`` and all links inside the masses (node, tree, size, weight, rep, n).
 
-    Tree after tree, every document of a mass that is not one component yet is compared with its own block of it. That
-    finishes masses of one block. Of the others, only documents outside a mass's largest component then still ask for
-    comparison, with that component's blocks and with one another.
+    In the first tree, then in all others, every document of a mass that is not one component yet is compared with its
+    own block of it. That finishes masses of one block. Of the others, only documents outside a mass's largest component
+    then still ask for comparison, with that component's blocks and with one another.
     """
     columns = ["node", "i", "j", "rep", "n", "component"]
     groups = settle(components(settle(links.distinct())))
-    for tree in range(trees):
-        held, main = _unfinished(mass.where(F.col("tree") == tree), groups)
+    for turn in (F.col("tree") == 0, F.col("tree") > 0):
+        held, main = _unfinished(mass.where(turn), groups)
+        if main.isEmpty():
+            continue
         dealt = held.join(main.select("node", _blocks(F.col("size"), F.col("weight")).alias("blocks")), "node")
         cells = dealt.select("*", _dealt(F.col("blocks")).alias("i"), F.lit(0).alias("j")).select(*columns)
         more = settle(_in_cells(cells, sets, percent).distinct())
@@ -359,13 +364,13 @@ def near_groups(
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(
         mass.select("rep")).distinct()
     # always a merge join: the key list grows with the input, and so the plan is the same at every size
-    texts = source.withColumnRenamed(_ROW, "rep").join(wanted.hint("merge"), "rep")
-    sets = settle(texts.mapInArrow(_sets(width), "rep long, tokens array<long>").dropDuplicates(["rep"]))
+    texts = source.withColumnRenamed(_ROW, "rep").join(wanted.hint("merge"), "rep").dropDuplicates(["rep"])
+    sets = settle(texts.mapInArrow(_sets(width), "rep long, tokens array<long>"))
     links = _confirmed(pairs, sets, percent)
     if mass.isEmpty():
         groups = components(settle(links.distinct()))
     else:
-        groups = _mass_groups(mass, sets, links, percent, trees)
+        groups = _mass_groups(mass, sets, links, percent)
 
     named = described.select("row", "n", "name_a", "name_b").join(
         reps.select("name_a", "name_b", "rep"), ["name_a", "name_b"], "left").select("row", "n", "rep").distinct()
