@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -11,13 +12,19 @@ from pyspark.sql import functions as F
 
 
 def build_session(app: str = "lexispark", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution and UTC; cluster sizing stays with spark-submit."""
+    """A session with adaptive execution and UTC; cluster sizing stays with spark-submit.
+
+    Python workers find this package where the driver has it, whatever folder the job was started from. Workers on other
+    machines need it there too, or as a zip by ``--py-files``.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.executorEnv.PYTHONPATH", os.pathsep.join(filter(None, [home, os.environ.get("PYTHONPATH")])))
     )
     if master:
         builder = builder.master(master)
