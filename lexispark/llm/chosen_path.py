@@ -8,10 +8,11 @@ whatever else the node holds and however unequal the lengths are.
 
 Small nodes are compared exhaustively. Nodes that stay large branch again. Where a child keeps most of its parent, the
 node is one mass of near copies that branching cannot thin out. Its documents are dealt into blocks and compared inside
-their block, first in one tree, then in the others; components are settled after each, and a mass that is one component by then is finished. In
-what is left, the largest component needs no comparison with itself: its blocks meet only the documents outside it, and
-those meet one another. So the work in a mass that really is one group grows with its size, while no pair of different components
-goes without comparison. All links are confirmed on full shingle sets. Groups are connected components.
+their block, first in one tree, then in the others; components are settled after each, and a mass that is one component
+by then is finished. In what is left, the largest component needs no comparison with itself: its blocks meet only the
+documents outside it, and those meet one another. So the work in a mass that really is one group grows with its size,
+while no pair of different components goes without comparison. All links are confirmed on full shingle sets. Groups are
+connected components.
 """
 
 from __future__ import annotations
@@ -222,16 +223,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b"))
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return pairs.join(left, "a").join(right, "b").where(
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(
         100 * common >= percent * (F.size("tokens_a") + F.size("tokens_b") - common)).select("a", "b")
 
 
 def _in_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links found inside cells; ``cells`` has node, i, j, rep, n and component.
-
-    They are stored, so that the join knows their size: a few cells go to the sets, and sets do not move for them.
-    """
-    return settle(cells).join(sets, "rep").groupBy("node", "i", "j").applyInPandas(_forest(percent), "a long, b long")
+    """Links found inside cells; ``cells`` has node, i, j, rep, n and component. A merge join, whatever the input's size."""
+    return cells.join(sets.hint("merge"), "rep").groupBy("node", "i", "j").applyInPandas(_forest(percent), "a long, b long")
 
 
 def _blocks(count: Column, weight: Column) -> Column:
@@ -265,17 +263,18 @@ def _unfinished(mass: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFram
 def _mass_groups(mass: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Components over ``links`` and all links inside the masses (node, tree, size, weight, rep, n).
 
-    In the first tree, then in all others, every document of a mass that is not one component yet is compared with its
-    own block of it. That finishes masses of one block. Of the others, only documents outside a mass's largest component
-    then still ask for comparison, with that component's blocks and with one another.
+    In the first tree every document of a mass is compared with its own block of it, in the job that confirms ``links``, as
+    both read the sets through one exchange. Then the same in all other trees, for masses that are not one component
+    yet. That finishes masses of one block. Of the others, only documents outside a mass's largest component then still
+    ask for comparison, with that component's blocks and with one another.
     """
     columns = ["node", "i", "j", "rep", "n", "component"]
-    groups = settle(components(settle(links.distinct())))
-    for turn in (F.col("tree") == 0, F.col("tree") > 0):
-        held, main = _unfinished(mass.where(turn), groups)
-        if main.isEmpty():
-            continue
-        dealt = held.join(main.select("node", _blocks(F.col("size"), F.col("weight")).alias("blocks")), "node")
+    blocks = _blocks(F.col("size"), F.col("weight"))
+    own = mass.where("tree = 0").select("node", _dealt(blocks).alias("i"), F.lit(0).alias("j"), "rep", "n", F.col("rep").alias("component"))
+    groups = settle(components(settle(links.unionByName(_in_cells(own, sets, percent)).distinct())))
+    held, main = _unfinished(mass.where("tree > 0"), groups)
+    if not main.isEmpty():
+        dealt = held.join(main.select("node", blocks.alias("blocks")), "node")
         cells = dealt.select("*", _dealt(F.col("blocks")).alias("i"), F.lit(0).alias("j")).select(*columns)
         more = settle(_in_cells(cells, sets, percent).distinct())
         if not more.isEmpty():
