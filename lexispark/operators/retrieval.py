@@ -188,15 +188,15 @@ def unit_bundle(units: DataFrame, tokens: DataFrame, labels: DataFrame, texts: D
     token meets what belongs to it, and the unit its tokens, where that exchange has put them. The token array is as long
     as the unit's own text, which already is one value.
     """
-    kind = segments.schema["segments"].dataType
-    parts = [
-        tokens.select("unit_id", "token_id", F.struct("pos", "form").alias("token"), F.lit(None).cast("string").alias("gloss"),
-                      F.lit(None).cast(kind).alias("segments")),
-        glosses.select("unit_id", "token_id", F.lit(None).cast(tokens.select(F.struct("pos", "form").alias("t")).schema["t"].dataType).alias("token"),
-                       "gloss", F.lit(None).cast(kind).alias("segments")),
-        segments.select("unit_id", "token_id", F.lit(None).cast(tokens.select(F.struct("pos", "form").alias("t")).schema["t"].dataType).alias("token"),
-                        F.lit(None).cast("string").alias("gloss"), "segments")]
-    together = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition("unit_id")
+    token = tokens.select("unit_id", "token_id", F.struct("pos", "form").alias("token"))
+    empty = {"token": token.schema["token"].dataType, "gloss": glosses.schema["gloss"].dataType,
+             "segments": segments.schema["segments"].dataType}
+
+    def part(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("unit_id", "token_id", *[
+            F.col(c) if c == name else F.lit(None).cast(kind).alias(c) for c, kind in empty.items()])
+
+    together = part(token, "token").unionByName(part(glosses, "gloss")).unionByName(part(segments, "segments")).repartition("unit_id")
     per_token = together.groupBy("unit_id", "token_id").agg(
         F.max("token").alias("token"), F.max("gloss").alias("gloss"), F.first("segments", ignorenulls=True).alias("segments"))
     per_unit = per_token.where("token is not null").groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct(

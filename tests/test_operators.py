@@ -277,8 +277,6 @@ def test_fuzzy_leaks_against_brute_force(spark):
 
 def test_fuzzy_leaks_in_small_cells(spark, monkeypatch):
     """The same with cells, steps and batches so small that every kind of seam is met, and texts longer than a step."""
-    import sys
-
     rng = random.Random(3)
     letters = "abcdef gé"
     passages = {i: "".join(rng.choice(letters) for _ in range(rng.randint(15, 60))).strip() + "xyz" for i in range(20)}
