@@ -25,8 +25,9 @@ MOST_SOURCES = 2048     # sources whose slots one task decides
 def quanta(counts: DataFrame, frame: int = FRAME, power: float = 0.5) -> DataFrame:
     """(source, quanta): slots of a frame per source, in proportion to n ** power, one at least, ``frame`` in sum.
 
-    With a column ``weight`` in ``counts`` the slots are in proportion to that instead. Largest remainders get the slots that rounding leaves over; of equal remainders the smaller source. ``counts`` has
-    one row per source, ``frame`` at most, so they may meet in one row.
+    With a column ``weight`` in ``counts`` the slots are in proportion to that instead. Largest remainders get the slots that
+    rounding leaves over; of equal remainders the smaller source. ``counts`` has one row per source, ``frame`` at most, so
+    they may meet in one row.
     """
     weight = F.col("weight").cast("double") if "weight" in counts.columns else F.pow("n", F.lit(power))
     listed = counts.agg(F.sort_array(F.collect_list(F.struct(

@@ -1,11 +1,8 @@
 """Ids and equality where hashes, Unicode tables or table sizes could go wrong."""
 
-import hashlib
-
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 
 from lexispark.llm import bpe, chosen_path, substring_dedup, textkit, token_files
 from tests.llm.cases import without_repeats

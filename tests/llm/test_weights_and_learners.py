@@ -3,13 +3,12 @@
 import math
 from fractions import Fraction
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexispark.llm import ftrl, ordinal, pfair
 from lexispark.llm.hashed import distinct, word_features
-from tests.llm.cases import SCHEMA, awkward, corpus
+from tests.llm.cases import corpus
 
 
 def test_given_weights_hold_the_bound(spark):
