@@ -38,7 +38,9 @@ BLOCK_TOKENS = 1 << 18      # about as many shingles are in a block, whatever th
 DEPTH = 8           # levels after which a large node is compared in blocks, whatever its share
 
 _ROW, _TEXT = "__near_row", "__near_text"
-_FIELD = 5          # bits of a root minimum kept for the quick test of a pair
+_FIELD = 5          # bits of a minimum kept for the quick test of a pair
+_IN_LONG = 12       # such fields in one number
+_WORDS = 20         # bits that name a word of the table of wanted sets: at most 2**20 rows, 64 bits each
 
 
 def shingle_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,8 +117,8 @@ def _sets(width: int):
 
 
 def _agreeing(trees: int, percent: int, risk: float = 1e-9) -> int:
-    """The most root minima that a pair of just enough similarity shares with probability 1 - ``risk``."""
-    count, share = trees * BRANCH, percent / 100
+    """The most minima that a pair of just enough similarity shares with probability 1 - ``risk``."""
+    count, share = _fields(trees), percent / 100
     below, least = 0.0, 0
     while least < count:
         below += comb(count, least) * share**least * (1 - share) ** (count - least)
@@ -126,13 +128,30 @@ def _agreeing(trees: int, percent: int, risk: float = 1e-9) -> int:
     return least
 
 
-def _quick(trees: int) -> Column:
-    """How many root minima of two documents agree, judged by a few bits of each."""
-    x = F.col("code").bitwiseXOR(F.col("code_b"))
+def _code(trees: int) -> Column:
+    """A few bits of each of ``_fields(trees)`` minima: those of the roots and of some levels, in three numbers."""
+    minima = [F.shiftrightunsigned(F.col("roots")[i], 7) for i in range(trees * BRANCH)]
+    minima += [F.shiftrightunsigned(F.col("levels")[i], 7).cast("long") for i in range(_fields(trees) - len(minima))]
     mask = F.lit((1 << _FIELD) - 1).cast("long")
-    same = F.lit(0)
-    for i in range(trees * BRANCH):
-        same = same + F.when(F.shiftright(x, i * _FIELD).bitwiseAND(mask) == 0, 1).otherwise(0)
+    codes = []
+    for first in range(0, len(minima), _IN_LONG):
+        code = F.lit(0).cast("long")
+        for i, least in enumerate(minima[first:first + _IN_LONG]):
+            code = code.bitwiseOR(F.shiftleft(least.bitwiseAND(mask), i * _FIELD))
+        codes.append(code.alias(f"c{len(codes)}"))
+    return F.struct(*codes)
+
+
+def _fields(trees: int) -> int:
+    return min(3 * _IN_LONG, trees * BRANCH * (DEPTH + 1))
+
+
+def _quick(trees: int) -> Column:
+    """How many of the minima of two documents agree, judged by a few bits of each."""
+    mask, same = F.lit((1 << _FIELD) - 1).cast("long"), F.lit(0)
+    for i in range(_fields(trees)):
+        x = F.col("code")[f"c{i // _IN_LONG}"].bitwiseXOR(F.col("code_b")[f"c{i // _IN_LONG}"])
+        same = same + F.when(F.shiftright(x, i % _IN_LONG * _FIELD).bitwiseAND(mask) == 0, 1).otherwise(0)
     return same
 
 
@@ -232,6 +251,18 @@ def _in_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cells.join(sets.hint("merge"), "rep").groupBy("node", "i", "j").applyInPandas(_forest(percent), "a long, b long")
 
 
+def _wanted(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """The sets of ``reps`` and few others, so that the rest need not move.
+
+    A table of bits tells them apart; it has ``2**_WORDS`` rows at most, whatever the input, so it may go to every task.
+    """
+    named = F.xxhash64("rep")
+    word, bit = F.shiftrightunsigned(named, 64 - _WORDS), F.shiftrightunsigned(named, 58 - _WORDS).bitwiseAND(F.lit(63)).cast("int")
+    held = reps.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy(
+        "__word").agg(F.bit_or("bit").alias("__bits"))
+    return sets.join(F.broadcast(held), word == F.col("__word")).where(F.getbit("__bits", bit) == 1).select(*sets.columns)
+
+
 def _blocks(count: Column, weight: Column) -> Column:
     return F.greatest(F.ceil(count / BLOCK), F.ceil(weight / BLOCK_TOKENS), F.lit(1)).cast("int")
 
@@ -275,8 +306,8 @@ def _mass_groups(mass: DataFrame, sets: DataFrame, links: DataFrame, percent: in
     held, main = _unfinished(mass.where("tree > 0"), groups)
     if not main.isEmpty():
         dealt = held.join(main.select("node", blocks.alias("blocks")), "node")
-        cells = dealt.select("*", _dealt(F.col("blocks")).alias("i"), F.lit(0).alias("j")).select(*columns)
-        more = settle(_in_cells(cells, sets, percent).distinct())
+        cells = settle(dealt.select("*", _dealt(F.col("blocks")).alias("i"), F.lit(0).alias("j")).select(*columns))
+        more = settle(_in_cells(cells, _wanted(sets, cells), percent).distinct())
         if not more.isEmpty():
             groups = _joined(groups, more)
 
@@ -296,7 +327,7 @@ def _mass_groups(mass: DataFrame, sets: DataFrame, links: DataFrame, percent: in
     # a block of its own pairs with every other; alone it has no cell of its own, unless it is the only one
     mates = mates.where((F.col("own") != F.col("mate")) | (F.col("own") == 0)).select(
         "node", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "rep", "n", "component")
-    more = settle(_in_cells(across.unionByName(mates), sets, percent).distinct())
+    more = settle(_in_cells(across.unionByName(mates), _wanted(sets, left), percent).distinct())
     return groups if more.isEmpty() else _joined(groups, more)
 
 
@@ -324,11 +355,7 @@ def near_groups(
     reps = settle(described.where("n > 0").groupBy("name_a", "name_b").agg(
         F.min("row").alias("rep"), F.first("n").alias("n"), F.first("levels").alias("levels"),
         F.first("roots").alias("roots")))
-    code = F.lit(0).cast("long")
-    for i in range(trees * BRANCH):
-        code = code.bitwiseOR(F.shiftleft(
-            F.shiftrightunsigned(F.col("roots")[i], 7).bitwiseAND(F.lit((1 << _FIELD) - 1).cast("long")), i * _FIELD))
-    coded = reps.withColumn("code", code)
+    coded = reps.withColumn("code", _code(trees))
     rows = coded.select("rep", "n", "code", F.posexplode("roots").alias("branch", "at")).select(
         F.xxhash64("branch", "at").alias("node"), F.floor(F.col("branch") / BRANCH).cast("int").alias("tree"),
         F.lit(None).cast("long").alias("above"), "rep", "n", "code")
