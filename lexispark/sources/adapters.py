@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
-from lexispark.session import settle, with_global_sum
+from lexispark.session import settle, spread, with_global_sum
 from lexispark.sources.tables import read_table
 
 _stored: dict[tuple, object] = {}
@@ -79,15 +79,19 @@ def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def basket_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as tokens: unit = order, section = the customer's nation, items = brand and type."""
+    """Order lines as tokens: unit = order, section = the customer's nation, items = brand and type.
+
+    They leave by order, in partitions of a bounded number of lines; whoever groups or joins them by unit stays there.
+    """
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
     parts = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_size")
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    placed = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    sold = lines.join(parts, lines.l_partkey == parts.p_partkey)
     return (
-        lines.join(parts, lines.l_partkey == parts.p_partkey)
-        .join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(customers, orders.o_custkey == customers.c_custkey)
+        spread(sold, lines.count(), "l_orderkey")     # counted from the footers
+        .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("l_orderkey").alias("unit_id"),
             F.col("c_nationkey").alias("section"),
