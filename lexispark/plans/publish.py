@@ -9,6 +9,7 @@ from lexispark.params import RAW
 from lexispark.plans import builds as bd
 from lexispark.plans.pairs import dispersion_sql
 from lexispark.plans.registry import query
+from lexispark.session import spread
 from lexispark.sources.adapters import basket_tokens, table
 
 # ---- verification -------------------------------------------------------------------------------
@@ -310,7 +311,8 @@ UNION ALL SELECT record_id, 'unknown_parent' FROM records WHERE parent_id IS NOT
 def record_contracts(spark, d):
     evidence = table(spark, d, "lineitem", "l_orderkey", "l_returnflag").select(
         F.col("l_orderkey").alias("record_id"), F.when(F.col("l_returnflag") == "R", "contradicting").otherwise("supporting").alias("role"))
-    return pu.contract_violations(_records(spark, d), evidence)
+    orders = table(spark, d, "orders").count()       # both counts are in the footers
+    return pu.contract_violations(_records(spark, d), spread(evidence, evidence.count(), "record_id"), orders)
 
 
 def _curation(spark, d):

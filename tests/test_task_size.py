@@ -35,3 +35,23 @@ def test_baskets_have_more_tasks_on_more_lines(spark, tmp_path, monkeypatch):
     assert len(found) >= 10 and max(r.n for r in found) <= 400
     assert sum(r.units for r in found) == 400       # no order is in two tasks
     assert rows(co.unit_totals(sets)) == rows(co.unit_totals(spark.createDataFrame(whole, sets.schema)))
+
+
+def test_records_without_a_parent_are_dealt_over_tasks(spark):
+    records = spark.range(4000).select(
+        F.col("id").alias("record_id"), F.lit("a statement of some twenty letters").alias("statement"), F.lit("exploratory").alias("registration"),
+        F.lit(None).cast("string").alias("definition"), F.lit("unsure").alias("verdict"), F.lit("").alias("missing_data"),
+        F.when(F.col("id") % 10 == 0, F.col("id") + 1).when(F.col("id") == 3, F.lit(-1)).alias("parent_id"))
+    evidence = spark.createDataFrame([(1, "contradicting")], "record_id long, role string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        broken = pu.contract_violations(records, evidence)
+        tasks = broken.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert max(r.n for r in tasks) < 2000
+        found = rows(broken)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == rows(records.select("record_id", F.lit("unknown_verdict")).unionByName(
+        spark.createDataFrame([(3, "unknown_parent")], "record_id long, unknown_verdict string")))
