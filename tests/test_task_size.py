@@ -7,7 +7,7 @@ from lexispark.operators import cooccurrence as co
 from lexispark.operators import publish as pu
 from lexispark.plans import builds as bd
 from lexispark.sources import adapters
-from tests.conftest import rows
+from tests.conftest import SMALL, rows
 
 
 def _orders(spark, folder, n):
@@ -55,3 +55,16 @@ def test_records_without_a_parent_are_dealt_over_tasks(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found == rows(records.select("record_id", F.lit("unknown_verdict")).unionByName(
         spark.createDataFrame([(3, "unknown_parent")], "record_id long, unknown_verdict string")))
+
+
+def test_lines_move_before_they_are_tokens(spark):
+    tokens = adapters.line_tokens(spark, SMALL)
+    long_lines = tokens.groupBy("unit_id").agg(F.max("pos").alias("last")).where("unit_id % 3 = 0 and last > 4")
+    ranges = long_lines.select("unit_id", F.lit(2).alias("start_pos"), F.lit(4).alias("end_pos")).unionByName(
+        long_lines.select("unit_id", F.lit(3).alias("start_pos"), F.col("last").alias("end_pos"))).localCheckpoint()
+    sets = co.item_sets(co.item_occurrences(adapters.flagged_line_tokens(spark, SMALL, ranges), bd.LINE_ITEMS))
+    wanted = co.item_sets(co.item_occurrences(co.flag_masked(tokens, ranges), bd.LINE_ITEMS))
+    assert sets.exceptAll(wanted).isEmpty() and wanted.exceptAll(sets).isEmpty()
+    assert 0 < sets.where("not in_reduced").count() < sets.count()
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")
