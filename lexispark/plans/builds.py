@@ -16,7 +16,7 @@ BASKET_ITEMS = {"brand": "brand", "type": "type"}
 LINE_ITEMS = {"root": "root", "lemma": "lemma"}
 FORCED = (("brand", "Brand#2", "Brand#1"), ("brand", "Brand#3", "Brand#missing"), ("brand", "Brand#nope", "Brand#missing"))
 
-TABLES = ("documents", "lineitem", "orders", "customer", "part")
+TABLES = ("documents", "lineitem", "orders", "customer", "part", "nation")
 
 
 def once(spark, d, name, build):

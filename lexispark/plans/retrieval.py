@@ -505,12 +505,14 @@ def _buyers(spark, d):
 
 def _buyer_statistics(spark, d):
     """The nested item views of the published build of the buyers."""
-    tokens = _buyers(spark, d)
+    tokens = bd.stored(spark, d, "buyers", lambda: _buyers(spark, d))
     ranges = tokens.where("l_returnflag = 'R'").select("unit_id", F.col("pos").alias("start_pos"), F.col("pos").alias("end_pos"))
-    built = bd.once(spark, d, "buyer_table", lambda: co.collocation_table(tokens, {"root": "root", "lemma": "lemma"}, ranges))
-    spread = bd.stored(spark, d, "buyer_dispersion", lambda: di.dispersion_table(co.item_sets(co.item_occurrences(
-        co.flag_masked(tokens, ranges), {"root": "root", "lemma": "lemma"}))))
-    profiles = profiles_by_variant(tokens, co.mask_ranges(tokens, ranges), ("lemma",))
+    flagged = co.flag_masked(tokens, ranges)
+    sets = bd.stored(spark, d, "buyer_sets", lambda: co.item_sets(co.item_occurrences(flagged, {"root": "root", "lemma": "lemma"})))
+    built = bd.once(spark, d, "buyer_table", lambda: co.collocations_of(sets, co.unit_scopes(flagged)))
+    spread = bd.stored(spark, d, "buyer_dispersion", lambda: di.dispersion_table(sets))
+    kept = bd.stored(spark, d, "buyers_kept", lambda: co.mask_ranges(tokens, ranges))
+    profiles = profiles_by_variant(tokens, kept, ("lemma",))
     builds = spark.createDataFrame([(1, True)], "build int, is_current boolean")
     table_ = built.withColumn("build", F.lit(1)).withColumn("g2", F.round("g2", 9))
     return sv.item_statistics(table_, spread, profiles, builds, 5)

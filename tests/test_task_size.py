@@ -68,3 +68,10 @@ def test_lines_move_before_they_are_tokens(spark):
     assert 0 < sets.where("not in_reduced").count() < sets.count()
     plan = sets._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange")
+
+
+def test_the_buyers_are_joined_once(spark):
+    from lexispark.plans.retrieval import _buyer_statistics
+
+    plan = _buyer_statistics(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_custkey" not in plan
