@@ -142,10 +142,12 @@ def surviving_tokens(tokens: DataFrame, occurrences: DataFrame) -> DataFrame:
 def profile_counts(tokens: DataFrame, by: Sequence[str] = ("lemma",)) -> DataFrame:
     """Distinct (norm, sorted features) and distinct units per item.
 
-    Two-step counting: duplicates of a frequent item disappear before its rows meet.
+    Two-step counting: duplicates of a frequent item disappear before its rows meet, and before features are sorted.
+    Units of tokens dealt by unit are told apart where they are.
     """
-    profile = F.struct(F.col("norm"), F.array_sort(F.coalesce("features", F.array().cast("array<string>"))))
-    profiles = tokens.select(*by, profile.alias("_p")).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("profiles"))
+    profile = F.struct(F.col("norm"), F.sort_array(F.coalesce("features", F.array().cast("array<string>"))))
+    forms = tokens.select(*by, "norm", "features").distinct()
+    profiles = forms.select(*by, profile.alias("_p")).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("profiles"))
     units = tokens.select(*by, "unit_id").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_units"))
     return profiles.join(units, list(by))
 

@@ -17,7 +17,7 @@ from lexispark.plans.registry import LINE_SETS, TOKENS, query
 from lexispark.plans.spans import ROWS_IN_LINE, SPANS, annotations
 from lexispark.session import with_global_rank
 from lexispark.sources.adapters import (
-    basket_tokens, line_tasks, line_tokens, line_units, lines_by_unit, table)
+    basket_tokens, line_tasks, line_tokens, line_units, lines_by_unit, table, tokens_by_unit)
 
 # ---- labels, occurrences, layers ----------------------------------------------------------------
 
@@ -203,7 +203,7 @@ WITH {LINE_SETS}, {_FEATURED}
 SELECT 'raw' AS variant, root, count(DISTINCT (norm, features)) AS profiles, count(DISTINCT unit_id) AS n_units FROM featured GROUP BY root
 UNION ALL SELECT 'phrase_reduced', root, count(DISTINCT (norm, features)), count(DISTINCT unit_id) FROM featured WHERE kept GROUP BY root""")
 def profile_counts(spark, d):
-    tokens = _featured(line_tokens(spark, d))
+    tokens = _featured(tokens_by_unit(spark, d))
     reduced = rt.surviving_tokens(tokens, bd.line_occurrences(spark, d))
     return rt.profile_counts(tokens, ["root"]).withColumn("variant", F.lit("raw")).unionByName(
         rt.profile_counts(reduced, ["root"]).withColumn("variant", F.lit("phrase_reduced")))

@@ -98,6 +98,11 @@ def lines_by_unit(spark: SparkSession, sf_dir: str, rows_in_line: int = _TOKENS_
     return spread(lines, rows_in_line * lines.count(), "unit_id")
 
 
+def tokens_by_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of :func:`line_tokens`, dealt by unit before the lines become tokens."""
+    return _tokens_of(lines_by_unit(spark, sf_dir).withColumn("words", tx.tokens_of(F.lower("text"))))
+
+
 def flagged_line_tokens(spark: SparkSession, sf_dir: str, ranges: DataFrame) -> DataFrame:
     """Tokens of the lines with ``kept``, false inside a masked range (unit_id, start_pos, end_pos).
 

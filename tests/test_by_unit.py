@@ -3,8 +3,10 @@
 import pytest
 
 from lexispark import session
+from lexispark.operators import retrieval as rt
 from lexispark.operators import spans as sp
 from lexispark.plans import QUERIES
+from lexispark.sources import adapters
 from tests.conftest import SMALL, rows
 
 
@@ -42,3 +44,14 @@ def test_repeated_and_missing_units(spark):
     found = sp.project_spans(anns, placed)
     assert rows(found, "token_id", "seg_start", "seg_end", "spans_tokens") == [(11, 0, 1, False)] * 2
     assert rows(sp.project_spans(anns, placed.unionAll(placed)), "token_id") == [(11,)] * 4
+
+
+def test_profiles_of_dealt_tokens(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_IN_TASK", 500)
+    tokens, plain = adapters.tokens_by_unit(spark, SMALL), adapters.line_tokens(spark, SMALL)
+    assert tokens.exceptAll(plain).isEmpty() and plain.exceptAll(tokens).isEmpty()
+    units = rt.profile_counts(tokens.selectExpr("*", "array(lemma) AS features"), ["root"]).select("root", "n_units")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(root" in units and not any("ENSURE" in x and "unit_id" in x for x in units.splitlines())
+    features = spark.createDataFrame([("a", ["y", "x"], 1), ("a", ["x", "y"], 1), ("a", None, 2), ("a", [], 2), ("a", ["x", None], 3), ("a", [None, "x"], 3)],
+                                     "norm string, features array<string>, unit_id long").selectExpr("norm AS lemma", "*")
+    assert rows(rt.profile_counts(features), "lemma", "profiles", "n_units") == [("a", 3, 3)]
