@@ -8,11 +8,11 @@ whatever else the node holds and however unequal the lengths are.
 
 Small nodes are compared exhaustively. Nodes that stay large branch again. Where a child keeps most of its parent, the
 node is one mass of near copies that branching cannot thin out. Its documents are dealt into blocks and compared inside
-their block, first in one tree, then in the others; components are settled after each, and a mass that is one component
-by then is finished. In what is left, the largest component needs no comparison with itself: its blocks meet only the
-documents outside it, and those meet one another. So the work in a mass that really is one group grows with its size,
-while no pair of different components goes without comparison. All links are confirmed on full shingle sets. Groups are
-connected components.
+their block; components are settled then, and a mass that is one component by then is finished. In what is left, two
+documents of different components meet if they share one of their rarest shingles, which all linked ones do; the largest
+component of a mass needs no comparison with itself. So the work in a mass grows with its documents' shingles, while no
+pair of different components that may be linked goes without comparison. All links are confirmed on full shingle sets.
+Groups are connected components.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm.textkit import Joined, mix, span_hashes, text_chunks, window_hashes, word_spans
@@ -271,10 +271,6 @@ def _dealt(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("node", "rep"), blocks).cast("int")
 
 
-def _every(blocks: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0), blocks - 1))
-
-
 def _joined(groups: DataFrame, more: DataFrame) -> DataFrame:
     """Components after links found later."""
     edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -291,43 +287,43 @@ def _unfinished(mass: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFram
         F.sum("size").alias("size"), F.sum("weight").alias("weight")).where("parts > 1"))
 
 
+def _sharing_rare(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components of which one is ``outside``, among them all that are linked.
+
+    ``left`` has rep, n, component and outside, a row for each document. All shingles stand in one order, the rarest first.
+    From the first one that two linked documents share, both have as many left as they need in common; so a document asks by
+    its rarest shingles alone, and those that no other document has ask for nothing. The rows grow with the documents'
+    shingles, whatever the size of a mass: what most of its documents have in common is not rare.
+    """
+    spread = _wanted(sets, left).join(left, "rep").select(*left.columns, F.explode("tokens").alias("token"))
+    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rest = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("df"), F.desc("token")))     # from here to the last
+    asked = settle(spread.join(shared, "token").withColumn("rest", rest).where(100 * F.col("rest") >= percent * F.col("n")).drop("df"))
+    other = asked.select("token", *[F.col(c).alias(f"{c}_b") for c in ("rest", "rep", "n", "component")])
+    enough = (100 + percent) * F.least("rest", "rest_b") >= percent * (F.col("n") + F.col("n_b"))
+    return asked.where("outside").join(other, "token").where((F.col("component") != F.col("component_b")) & enough).select(
+        F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
+
+
 def _mass_groups(mass: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Components over ``links`` and all links inside the masses (node, tree, size, weight, rep, n).
 
     In the first tree every document of a mass is compared with its own block of it, in the job that confirms ``links``, as
-    both read the sets through one exchange. Then the same in all other trees, for masses that are not one component
-    yet. That finishes masses of one block. Of the others, only documents outside a mass's largest component then still
-    ask for comparison, with that component's blocks and with one another.
+    both read the sets through one exchange. Masses that are not one component by then are left to their rarest shingles.
     """
-    columns = ["node", "i", "j", "rep", "n", "component"]
     blocks = _blocks(F.col("size"), F.col("weight"))
     own = mass.where("tree = 0").select("node", _dealt(blocks).alias("i"), F.lit(0).alias("j"), "rep", "n", F.col("rep").alias("component"))
     groups = settle(components(settle(links.unionByName(_in_cells(own, sets, percent)).distinct())))
-    held, main = _unfinished(mass.where("tree > 0"), groups)
-    if not main.isEmpty():
-        dealt = held.join(main.select("node", blocks.alias("blocks")), "node")
-        cells = settle(dealt.select("*", _dealt(F.col("blocks")).alias("i"), F.lit(0).alias("j")).select(*columns))
-        more = settle(_in_cells(cells, _wanted(sets, cells), percent).distinct())
-        if not more.isEmpty():
-            groups = _joined(groups, more)
-
-    held, main = _unfinished(mass.where(_blocks(F.col("size"), F.col("weight")) > 1), groups)
+    held, main = _unfinished(mass, groups)
     if main.isEmpty():
         return groups
-    left = settle(held.join(main.select(
-        "node", F.col("main.component").alias("largest"), _blocks(F.col("main.size"), F.col("main.weight")).alias("inside"),
-        _blocks(F.col("size") - F.col("main.size"), F.col("weight") - F.col("main.weight")).alias("outside")), "node"))
-    member = F.col("component") == F.col("largest")
-    outer = left.where(~member).withColumn("own", _dealt(F.col("outside")))
-    # negative j: a block of the largest component and a block of the others
-    inner = left.where(member).select("*", _dealt(F.col("inside")).alias("i"), _every(F.col("outside")).alias("k"))
-    across = inner.withColumn("j", -F.col("k") - 1).select(*columns).unionByName(
-        outer.select("*", _every(F.col("inside")).alias("i")).withColumn("j", -F.col("own") - 1).select(*columns))
-    mates = outer.select("*", _every(F.col("outside")).alias("mate"))
-    # a block of its own pairs with every other; alone it has no cell of its own, unless it is the only one
-    mates = mates.where((F.col("own") != F.col("mate")) | (F.col("own") == 0)).select(
-        "node", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "rep", "n", "component")
-    more = settle(_in_cells(across.unionByName(mates), _wanted(sets, left), percent).distinct())
+    outside = F.col("component") != F.col("main.component")
+    left = settle(held.join(main.select("node", "main"), "node").groupBy("rep", "n", "component").agg(F.max(outside).alias("outside")))
+    pairs = settle(_sharing_rare(left, sets, percent))
+    if pairs.isEmpty():
+        return groups
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    more = settle(_confirmed(pairs, _wanted(sets, ends), percent))
     return groups if more.isEmpty() else _joined(groups, more)
 
 
