@@ -101,3 +101,16 @@ def test_training_against_a_tree_of_dictionaries(spark):
         share = 1 / sum(2 ** (cost[best] - c) for c in cost.values())
         allowed = langid.SLACK * own + 1 + langid.SHORT / math.sqrt(size)
         assert abs(r.score - share * 2 ** -max(cost[best] / size - allowed, 0)) < 1e-3
+
+
+def test_a_small_model_judges_as_the_whole_trees(spark):
+    """What the bounded model leaves out is looked up, so code lengths, languages and scores are those of all nodes."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    more = [(t,) for _, t in junk()] + [("",), ("Zebra qxq", ), ("Zebra qxq",)]
+    asked = docs.where("doc_id % 3 = 0").select("text").unionByName(spark.createDataFrame(more, "text string"))
+    whole, small = langid.train(docs), langid.train(docs, grams=2_000)
+    assert whole.left_out is None and small.left_out is not None and len(small.four) <= 2_000 < len(whole.four)
+    assert max(abs(whole.own - small.own)) < 1e-9
+    got, want = [sorted(langid.identify(asked, m).collect(), key=lambda r: r.text or "") for m in (small, whole)]
+    assert [(r.text, r.lang_pred, r.bits_per_byte is None) for r in got] == [(r.text, r.lang_pred, r.bits_per_byte is None) for r in want]
+    assert all(abs(g.score - w.score) < 1e-5 and abs((g.bits_per_byte or 0) - (w.bits_per_byte or 0)) < 1e-5 for g, w in zip(got, want))
