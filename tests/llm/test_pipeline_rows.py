@@ -114,3 +114,27 @@ def test_a_small_model_judges_as_the_whole_trees(spark):
     got, want = [sorted(langid.identify(asked, m).collect(), key=lambda r: r.text or "") for m in (small, whole)]
     assert [(r.text, r.lang_pred, r.bits_per_byte is None) for r in got] == [(r.text, r.lang_pred, r.bits_per_byte is None) for r in want]
     assert all(abs(g.score - w.score) < 1e-5 and abs((g.bits_per_byte or 0) - (w.bits_per_byte or 0)) < 1e-5 for g, w in zip(got, want))
+
+
+def test_judging_by_parts_stores_a_row_per_text(spark, monkeypatch):
+    """However small the parts of the trees, what is stored to judge texts grows with the texts, not with their grams."""
+    rng = random.Random(9)
+    rows = [(lang, " ".join("".join(rng.choice(signs) for _ in range(6)) for _ in range(80)))
+            for lang, signs in (("a", "abcdefgh"), ("b", "efghijkl"), ("c", "éèêëabcd")) for _ in range(6)]
+    docs = spark.createDataFrame(rows + rows[:2], "lang string, text string")
+    model, settled = langid.train(docs, grams=1_000), []
+    others = list(model.others())
+    assert len(others) > 1 and all(len(m.four) <= 1_000 for m in [model, *others])
+    assert (sum(~m.left_out for m in [model, *others]) == 1).all()
+    assert sum(len(m.four) for m in [model, *others]) == len(langid.train(docs).four)
+
+    def settle(df, stored=langid.settle):
+        settled.append(stored(df))
+        return settled[-1]
+
+    monkeypatch.setattr(langid, "settle", settle)
+    got = langid.identify(docs, model).collect()
+    assert len(got) == len(rows) + 2 and all(r.lang == r.lang_pred for r in got)
+    assert all(df.count() <= len(rows) for df in settled)
+    widths = [len(v) for df in settled for r in df.collect() for v in r if isinstance(v, list)]
+    assert widths and max(widths) == len(model.langs)
