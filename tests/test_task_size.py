@@ -75,3 +75,20 @@ def test_the_buyers_are_joined_once(spark):
 
     plan = _buyer_statistics(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "o_custkey" not in plan
+
+
+def test_outputs_in_one_piece_are_dealt_before_their_keys_are_made(spark, monkeypatch):
+    """One large row group would be one task; passages without words of their own are found in any script."""
+    from lexispark.operators import audit
+
+    signs = "".join(chr(0x1F600 + i) for i in range(16))
+    passages = spark.createDataFrame([(1, signs), (2, "a\n.." * 5), (3, "seven plain words stand in this passage")], "passage_id int, text_norm string")
+    texts = [(i, f"{i} " * 300 + ("x" + signs + "y" if i == 3 else "ba\n..a\n..a\n..a\n..a\n..b" if i == 5 else
+              "seven plain words stand in this passage" if i == 7 else "")) for i in range(24)]
+    outputs = spark.createDataFrame([*texts, (24, None), (25, "")], "output_id int, text_norm string").coalesce(1)
+    stored, settle = [], audit.settle
+    monkeypatch.setattr(audit, "TASK_BYTES", 1 << 11, raising=False)
+    monkeypatch.setattr(audit, "settle", lambda df: stored.append(settle(df)) or stored[-1])
+    got = sorted(tuple(r) for r in audit.leak_exact(outputs, passages).collect())
+    assert got == [(3, 1), (5, 2), (7, 3)]
+    assert any(df.columns == ["output_id", "text_norm"] and df.count() == 26 and len(df.inputFiles()) > 4 for df in stored)
