@@ -92,3 +92,33 @@ def test_outputs_in_one_piece_are_dealt_before_their_keys_are_made(spark, monkey
     got = sorted(tuple(r) for r in audit.leak_exact(outputs, passages).collect())
     assert got == [(3, 1), (5, 2), (7, 3)]
     assert any(df.columns == ["output_id", "text_norm"] and df.count() == 26 and len(df.inputFiles()) > 4 for df in stored)
+
+
+def test_most_pairs_are_told_by_their_beginnings(monkeypatch):
+    """No pair that reaches the threshold is lost, unlike ones are not compared whole."""
+    import random
+
+    from lexispark.operators import audit
+
+    rng, steps = random.Random(3), []
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    pairs = []
+    for i in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(2, 50)))
+        other = list(text) if i % 2 else list(" ".join(rng.choice(words) for _ in range(40))[:len(text)])
+        if i % 2:       # from untouched to well below the threshold, in one place or everywhere
+            for _ in range(len(text) * rng.randint(0, 30) // 100):
+                at = rng.randrange(len(other) // (1 + i % 4 // 2) or 1)
+                other[at:at + rng.randint(0, 2)] = rng.choice(["", "x", "qé"])
+        pairs.append(("".join(other).encode(), text.encode()))
+    pairs += [(b"", b"abc"), (b"a", b""), (b"abc", b"abc")]
+    whole = audit.common_subsequence
+    monkeypatch.setattr(audit, "common_subsequence", lambda a, b: steps.append(sum(map(len, b))) or whole(a, b))
+    got = audit.near_percent([a for a, _ in pairs], [b for _, b in pairs])
+    want = [audit.similarity(a, b) for a, b in pairs]
+    assert [g >= 85 for g in got] == [w >= 85 for w in want] and all(g == w for g, w in zip(got, want) if w >= 85)
+    assert 40 < sum(w >= 85 for w in want) < 300
+    steps.clear()
+    unlike = pairs[:400:2]
+    audit.near_percent([a for a, _ in unlike], [b for _, b in unlike])
+    assert sum(steps) < 0.8 * sum(len(a) for a, _ in unlike)
