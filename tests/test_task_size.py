@@ -122,3 +122,37 @@ def test_most_pairs_are_told_by_their_beginnings(monkeypatch):
     unlike = pairs[:400:2]
     audit.near_percent([a for a, _ in unlike], [b for _, b in unlike])
     assert sum(steps) < 0.8 * sum(len(a) for a, _ in unlike)
+
+
+def test_unlike_windows_are_dropped_before_they_are_cut(spark, monkeypatch):
+    """Of windows in the passage's own words only those whose common subsequence is long enough are compared one by one."""
+    import random
+
+    from lexispark.operators import audit
+    from tests.test_operators import brute_fuzzy, texts
+
+    rng, compared = random.Random(8), []
+    words = ["".join(rng.choice(["th", "an", "er", "in", "é", "ou", "s"]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages = {i: some(n) for i, n in enumerate([4, 9, 30, 31, 32, 60, 400])}
+    outputs = {i: some(rng.randint(0, 200)) for i in range(12)}
+    for i, s in passages.items():
+        for share in (2, 6, 13, 25):
+            s_, lead = list(s), some(2)
+            for _ in range(len(s) * share // 100):
+                at = rng.randrange(len(s_))
+                s_[at:at + 1] = rng.choice([[], ["x"], ["é", s_[at]]])
+            outputs[len(outputs)] = lead[:len(s) // 20] + "".join(s_) + some(3)
+    o, p = texts(spark, outputs, "output_id"), texts(spark, passages, "passage_id")
+    exact = audit.leak_exact(o, p)
+    want = brute_fuzzy(outputs, passages, {tuple(r) for r in exact.collect()})
+    near = audit.near_percent
+    monkeypatch.setattr(audit, "near_percent", lambda a, b: compared.extend(zip(a, b)) or near(a, b))
+    import pyarrow as pa
+
+    cell = audit._near_cell(*(pa.table({key: [*t], "text_norm": [*t.values()]}) for key, t in (("output_id", outputs), ("passage_id", passages))))
+    held = {tuple(r) for r in exact.collect()}
+    got = {(r["output_id"], r["passage_id"]): round(r["similarity"], 1) for r in cell.to_pylist()}
+    assert len(want) > 8 and {k: v for k, v in got.items() if k not in held} == want
+    like = [len(x) + len(y) <= 200 / 85 * n + 1e-6 for (x, y), n in zip(compared, audit.common_subsequence(*map(list, zip(*compared))))]
+    assert len(like) > 8 and all(like)
