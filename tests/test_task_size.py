@@ -156,3 +156,59 @@ def test_unlike_windows_are_dropped_before_they_are_cut(spark, monkeypatch):
     assert len(want) > 8 and {k: v for k, v in got.items() if k not in held} == want
     like = [len(x) + len(y) <= 200 / 85 * n + 1e-6 for (x, y), n in zip(compared, audit.common_subsequence(*map(list, zip(*compared))))]
     assert len(like) > 8 and all(like)
+
+
+def _unit_sets(spark, units=240):
+    """Item sets in which some items are in most units, some in few, and one unit is many times the others."""
+    import random
+
+    rng = random.Random(12)
+    rows = [("t" if u % 3 else "s", u, f"sec{u % 4}", f"i{i:03d}", rng.random() < 0.8)
+            for u in range(units) for i in {int(60 * rng.random() ** 3) for _ in range(300 if u == 7 else rng.randint(1, 12))} | ({70, 71, 72} if u % 6 == 0 else set())]
+    return spark.createDataFrame(rows, "item_type string, unit_id long, section string, item string, in_reduced boolean").localCheckpoint()
+
+
+def test_pair_table_is_folded_by_slices(spark, monkeypatch):
+    """The same as the stored table folded, with many slices, hot items, large units and shuffled lookups; nothing wide is stored."""
+    from lexispark.params import Params
+
+    sets, p = _unit_sets(spark), Params(pair_block=16)
+    firsts = spark.range(0, 240, 5).select(F.col("id").alias("unit_id"))
+    scopes = spark.createDataFrame([("raw", 240), ("phrase_reduced", 230)], "variant string, n_scope long")
+    table = co.collocations_of(sets, scopes, firsts, p).localCheckpoint()
+    wanted = table.groupBy("variant", "item_type", F.col("item_a").alias("item")).agg(
+        *[F.expr(made).alias(name) for name, (made, _) in bd.LINE_FOLDS.items()], F.count_if("fdr_significant").alias("n_significant"))
+    for name, value in (("PAIRS_AT_ONCE", 800), ("HOT_UNITS", 40), ("HOT_ITEMS", 9), ("PAIRS_IN_TASK", 500), ("LOOKUP_ROWS", 0)):
+        monkeypatch.setattr(co, name, value)
+    stored, settle = [], co.settle
+    monkeypatch.setattr(co, "settle", lambda df: stored.append((df.columns, settle(df))) or stored[-1][1])
+    got = co.folded_collocations(sets, scopes, firsts, bd.LINE_FOLDS, p)
+    plain = lambda df: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(df, *sorted(wanted.columns))]
+    assert plain(got) == plain(wanted) and 0 < table.where("fdr_significant").count() < table.count()
+    parts = [columns for columns, _ in stored if "c_raw" in columns]
+    assert len(parts) > 5 and not any("item_b" in columns or "p" in columns for columns, _ in stored)
+
+
+def test_pairs_are_counted_by_slices(spark, monkeypatch):
+    """Pairs that share their smaller item move once, as arrays, and only a slice of them at a time."""
+    from lexispark.params import Params
+
+    sets, p = _unit_sets(spark), Params(pair_block=16)
+    units = sets.join(co.marginals(sets).where("n_raw >= 5"), ["item_type", "item"]).select("item_type", "unit_id", "item")
+    plain = units.join(units.withColumnRenamed("item", "item_b"), ["item_type", "unit_id"]).where("item < item_b").groupBy(
+        "item_type", F.col("item").alias("item_a"), "item_b").agg(F.count(F.lit(1)).alias("n_ab"))
+    sizes = plain.groupBy("item_type", "n_ab").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.max("item_a").alias("last_a"), F.min("item_b").alias("first_b"))
+    assert rows(co.pair_counts(sets, p), *plain.columns) == rows(plain)
+    for name, value in (("PAIRS_AT_ONCE", 800), ("HOT_UNITS", 40), ("HOT_ITEMS", 9), ("PAIRS_IN_TASK", 500)):
+        monkeypatch.setattr(co, name, value)
+    stored, settle = [], co.settle
+    monkeypatch.setattr(co, "settle", lambda df: stored.append(df.columns) or settle(df))
+    assert rows(co.pair_count_sizes(sets, p), *sizes.columns) == rows(sizes)
+    assert sum("n_pairs" in columns for columns in stored) > 5
+    numbers = co.NumberedItems(co.marginals(sets))
+    cells = co.unit_cells(sets.join(numbers.lookup("item_type", "item", "id", "n_raw"), ["item_type", "item"]).select(
+        "item_type", "unit_id", numbers.held(F.lit(0)).alias("item")), p=p)
+    *cold, _ = co.pair_slices(cells, ("item_type", "unit_id"), numbers)
+    plan = cold[0].groupBy("router", "partner").agg(F.count(F.lit(1)))._jdf.queryExecution().executedPlan().toString()
+    assert not any("ENSURE" in line and "partner" in line for line in plan.splitlines())
