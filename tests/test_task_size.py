@@ -212,3 +212,14 @@ def test_pairs_are_counted_by_slices(spark, monkeypatch):
     *cold, _ = co.pair_slices(cells, ("item_type", "unit_id"), numbers)
     plan = cold[0].groupBy("router", "partner").agg(F.count(F.lit(1)))._jdf.queryExecution().executedPlan().toString()
     assert not any("ENSURE" in line and "partner" in line for line in plan.splitlines())
+
+
+def test_units_listed_twice_count_as_before(spark):
+    """Items of a unit that comes m times among the first units are m times in it."""
+    from lexispark.params import Params
+
+    sets = spark.createDataFrame([("t", 1, "s", i, True) for i in "ab"] + [("t", 2, "s", i, True) for i in "ab"],
+                                 "item_type string, unit_id long, section string, item string, in_reduced boolean")
+    firsts = spark.createDataFrame([(1,), (1,)], "unit_id long")
+    got = rows(co.pair_rows(sets, firsts, Params(floor_item=1)).where("variant = 'raw'"), "item_a", "item_b", "n_ab")
+    assert got == [("a", "a", 1), ("a", "b", 5), ("b", "b", 1)]
